@@ -38,9 +38,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def hash_slices(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each slice's bytes, the same wherever the slice lies; starts must ascend."""
-    out = np.empty(len(starts), np.uint64)
+def hash_slices(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """A 64-bit hash of each slice's bytes, the same wherever the slice lies; starts must ascend.
+
+    With prefixes, rows of hashes: of the slices, then of their first k bytes for each k of prefixes; a slice of at
+    most k bytes has 0 there.
+    """
+    out = np.zeros((1 + len(prefixes), len(starts)), np.uint64)
     i = 0
     while i < len(starts):
         at = int(starts[i])
@@ -50,9 +54,14 @@ def hash_slices(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         total = np.zeros(stop - at + 1, np.uint64)
         np.cumsum((buf[at:stop].astype(np.uint64) + np.uint64(1)) * up[: stop - at], out=total[1:])
         s, e = starts[i:j] - at, ends[i:j] - at
-        out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        out[0, i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        for row, k in enumerate(prefixes, 1):
+            some = np.flatnonzero(e - s > k)
+            b = s[some]
+            # Apart from whole words of k bytes by another term.
+            out[row, i + some] = mix((total[b + k] - total[b]) * down[b] + np.uint64(1_000_003 * k))
         i = j
-    return out
+    return out if prefixes else out[0]
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
