@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolode.llm import decontaminate, mixing, pii, simhash, toxicity
+from chronolode.llm import decontaminate, html_text, mixing, pii, simhash, toxicity
 from chronolode.llm._session import ship
 
 
@@ -47,10 +47,15 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op4_simhash": op4_simhash,
     "op7_pii": op7_pii,
     "op8_decontaminate": op8_decontaminate,
     "op9_mix": op9_mix,
+    "op10_html": op10_html,
 }
