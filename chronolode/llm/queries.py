@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolode.llm import decontaminate, html_text, langid, mixing, pii, simhash, toxicity
+from chronolode.llm import decontaminate, embed_dedup, html_text, langid, mixing, pii, simhash, toxicity
 from chronolode.llm._session import ship
 
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.classify(docs, _table(spark, sf_dir, "labels"))
@@ -58,6 +62,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embeddings": op1_embeddings,
     "op2_toxicity": op2_toxicity,
     "op3_langid": op3_langid,
     "op4_simhash": op4_simhash,
