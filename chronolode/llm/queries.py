@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolode.llm import chat_tree, decontaminate, embed_dedup, html_text, langid, mixing, pii, simhash, toxicity
+from chronolode.llm import chat_tree, decontaminate, embed_dedup, html_text, langid, mixing, pii, simhash, toxicity, warc
 from chronolode.llm._session import ship
 
 
@@ -44,6 +44,16 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tree.read_back(*chat_tree.build(rows.unionByName(more)))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages against a replica in which some records have a changed byte and others are lost."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    first = F.substring(F.col("html"), 1, 1)
+    flipped = F.concat(F.when(first == "#", "%").otherwise("#"), F.expr("substring(html, 2)"))
+    damaged = pages.withColumn("html", F.when(F.col("page_id") % 97 == 13, flipped).otherwise(F.col("html")))
+    kept = warc.manifest(damaged).filter(F.coalesce(F.col("page_id") % 389 != 7, F.lit(True)))
+    return warc.audit(warc.tree(warc.manifest(pages)), warc.tree(kept))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -74,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_langid": op3_langid,
     "op4_simhash": op4_simhash,
     "op5_chat": op5_chat,
+    "op6_warc": op6_warc,
     "op7_pii": op7_pii,
     "op8_decontaminate": op8_decontaminate,
     "op9_mix": op9_mix,
