@@ -1 +1 @@
-"""Part of the library; see README."""
+"""Named queries over the standard tables, with the SQL that checks them."""
