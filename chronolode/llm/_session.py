@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolode.ship import ship
+
+__all__ = ["checkpoint", "connected_components", "ensure_checkpoint_dir", "ship"]
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder in spark.checkpoint.dir; only where it is unset (tests, local runs) make one."""
@@ -56,13 +57,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     leaves = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = leaves.select(F.col("component").alias("node"), "component").distinct()
     return leaves.unionByName(roots)
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers where PYTHONPATH does not already hold it."""
-    root = Path(__file__).resolve().parents[2]
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark.sparkContext, "_chronolode_shipped", False):
-        return
-    folder = tempfile.mkdtemp(prefix="chronolode-")
-    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/chronolode", "zip", root, "chronolode"))
-    spark.sparkContext._chronolode_shipped = True
