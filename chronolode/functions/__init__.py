@@ -1 +1 @@
-"""Part of the library; see README."""
+"""Scalar functions as Column expressions."""

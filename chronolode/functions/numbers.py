@@ -21,13 +21,15 @@ def price(fresh: Column, cache_write: Column, cache_read: Column, output: Column
     d = lambda c: c.cast("decimal(18,2)")
     n = lambda c: c.cast("decimal(12,0)")
     units = n(fresh) * d(input_rate) + n(cache_write) * d(input_rate) * F.lit(CACHE_WRITE).cast("decimal(3,2)") + n(cache_read) * d(input_rate) * F.lit(CACHE_READ).cast("decimal(2,1)") + n(output) * d(output_rate)
-    return F.bround((units / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(28,12)"), 6).cast("decimal(18,6)")
+    # Rounded as whole millionths, before the division can lose digits.
+    return (F.bround(units, 0).cast("decimal(24,0)") * F.lit("0.000001").cast("decimal(6,6)")).cast("decimal(18,6)")
+
 
 
 def clamped_date(raw: Column, since: dt.date, today: dt.date) -> Column:
     """An ISO date within [since, today]; blank or unreadable: null."""
-    d = F.try_to_date(F.trim(raw), F.lit("yyyy-MM-dd")) if hasattr(F, "try_to_date") else F.expr("null")
-    return F.when(F.trim(raw).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.least(F.greatest(d, F.lit(since)), F.lit(today)))
+    d = F.try_to_date(F.trim(raw), "yyyy-MM-dd")
+    return F.when(F.trim(raw).rlike(r"^\d{4}-\d{2}-\d{2}$") & d.isNotNull(), F.least(F.greatest(d, F.lit(since)), F.lit(today)))
 
 
 def in_force_label(start: Column, end: Column) -> Column:

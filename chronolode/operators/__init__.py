@@ -1 +1 @@
-"""Part of the library; see README."""
+"""Relational and retrieval operators."""

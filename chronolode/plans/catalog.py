@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronolode.plans import search
+from chronolode.plans import search, services
 
-QUERIES = {**search.QUERIES}
-ORACLES = {**search.ORACLES}
+QUERIES = {**search.QUERIES, **services.QUERIES}
+ORACLES = {**search.ORACLES, **services.ORACLES}

@@ -1 +1 @@
-"""Part of the library; see README."""
+"""Readers, caches and tables."""
