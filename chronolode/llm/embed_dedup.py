@@ -107,7 +107,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, tables: int =
     Rows link where labels are equal and not null and the cosine is at least `cosine`. Null, empty and zero vectors,
     and vectors with null or non-finite components, link with nothing, nor do vectors of different length. Rows that
     repeat are vectors of their own, also under one id; a row without an id links like any other but names no
-    component (it is kept, as is everything where no id is reached). Other columns play no part. An empty table
+    component (it is kept only where no id is reached). Other columns play no part. An empty table
     gives an empty result.
     """
     rows = checkpoint(_prepare(vectors, tables, hashes, width, seed).withColumn("cls", F.xxhash64("bits", F.col("label"))).drop("bits"))
@@ -136,7 +136,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, tables: int =
     found = rows.select("vec_id", "cls").join(known, "cls").select("vec_id", "n_links", "component_id")
     # Rows that link with nothing: those that _prepare left out.
     out = _unusable(vectors).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return found.unionByName(out).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("vec_id").isNull()))
+    return found.unionByName(out).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def _unusable(vectors: DataFrame) -> DataFrame:
