@@ -169,9 +169,14 @@ def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_cha
     done = F.aggregate("_pii_spans", F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("out")), cut,
                        lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["pos"] + 1).cast("int"), F.length(F.col(text)))))
     changed = F.col("_pii_spans").isNotNull()
-    new = F.when(changed, done).otherwise(F.col(text))
+    # Apart, as a lambda would take a new column `text` beside it for the old one.
+    rows = rows.withColumn("_pii_new", F.when(changed, done).otherwise(F.col(text)))
     columns = []
     for c in docs.columns:
         own = F.col(f"`{c}`")
-        columns.append(new.alias(c) if c == text else F.when(changed, F.length(new).cast(docs.schema[c].dataType)).otherwise(own).alias(c) if c == n_chars else own)
+        if c == text:
+            own = F.col("_pii_new").alias(c)
+        elif c == n_chars:
+            own = F.when(changed, F.length("_pii_new").cast(docs.schema[c].dataType)).otherwise(own).alias(c)
+        columns.append(own)
     return rows.select(*columns)
