@@ -25,28 +25,32 @@ def daily_counts(stream: DataFrame, late: str = LATE) -> DataFrame:
     return w.select("event_type", F.unix_micros(F.col("window.start").cast("timestamp")).alias("start_us"), "n")
 
 
-def leases(stream: DataFrame, visibility_ms: int = 30_000) -> DataFrame:
-    """(id, lease_epoch, state) per job of stream(id, op): claim, heartbeat, ack, nack by a fenced lease with a timer."""
+def lease_step(visibility_ms: int) -> Callable:
+    """What a batch of operations does to a job's (epoch, status): a claim takes a pending job under a new epoch, an
+    end of its lease gives it back, ack and nack end a running one."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            epoch, status = state.get
-            state.update((epoch, "pending"))
-            yield pd.DataFrame({"id": [key[0]], "lease_epoch": [epoch], "state": ["pending"]})
-            return
         epoch, status = state.get if state.exists else (0, "pending")
-        for b in batches:
-            for op in b["op"]:
-                if op == "claim" and status == "pending":
-                    epoch, status = epoch + 1, "running"
-                elif status == "running" and op in ("ack", "nack"):
-                    status = "succeeded" if op == "ack" else "pending"
+        if state.hasTimedOut:
+            status = "pending"
+        else:
+            for b in batches:
+                for op in b["op"]:
+                    if op == "claim" and status == "pending":
+                        epoch, status = epoch + 1, "running"
+                    elif status == "running" and op in ("ack", "nack"):
+                        status = "succeeded" if op == "ack" else "pending"
         state.update((epoch, status))
         if status == "running":
             state.setTimeoutDuration(visibility_ms)
         yield pd.DataFrame({"id": [key[0]], "lease_epoch": [epoch], "state": [status]})
 
-    return stream.groupBy("id").applyInPandasWithState(step, "id long, lease_epoch int, state string", "epoch int, status string", "update", "ProcessingTimeTimeout")
+    return step
+
+
+def leases(stream: DataFrame, visibility_ms: int = 30_000) -> DataFrame:
+    """(id, lease_epoch, state) per job of stream(id, op) with op claim, heartbeat, ack or nack; timers end leases."""
+    return stream.groupBy("id").applyInPandasWithState(lease_step(visibility_ms), "id long, lease_epoch int, state string", "epoch int, status string", "update", "ProcessingTimeTimeout")
 
 
 def replay(spark: SparkSession, rows: DataFrame, transform: Callable[[DataFrame], DataFrame], folder: str | None = None) -> DataFrame:
