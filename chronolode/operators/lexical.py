@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from chronolode.functions import text as tx
 
 K1, B = 1.2, 0.75
-MAX_QUERY_TERMS = 100_000
+MAX_QUERY_TERMS = 1000
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -65,10 +65,14 @@ class LexicalIndex:
         """(qid, id, score, rank): the k best of queries(qid, query), ties by id. A term that a query repeats counts
         as often. The query terms are broadcast up to MAX_QUERY_TERMS; beyond, the join shuffles on term."""
         terms = queries.select("qid", F.explode(tx.tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-        few = terms.limit(MAX_QUERY_TERMS + 1).count() <= MAX_QUERY_TERMS
+        listed = [r["term"] for r in terms.select("term").distinct().limit(MAX_QUERY_TERMS + 1).collect()]
+        few = len(listed) <= MAX_QUERY_TERMS
         hint = F.broadcast if few else (lambda x: x)
-        weights = self.frequencies.join(hint(terms), "term").select("qid", "term", (F.col("times") * idf(self.n, F.col("df"))).alias("w"))
-        rows = self.postings if admissible is None else self.postings.join(admissible, "id", "left_semi")
+        # A literal list is pushed below the aggregates that make postings and frequencies, and into saved tables' scans.
+        some = F.col("term").isin(listed) if few else F.lit(True)
+        weights = self.frequencies.filter(some).join(hint(terms), "term").select("qid", "term", (F.col("times") * idf(self.n, F.col("df"))).alias("w"))
+        rows = self.postings.filter(some)
+        rows = rows if admissible is None else rows.join(admissible.select("id"), "id", "left_semi")
         norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(self.average or 1.0))
         part = F.col("w") * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + norm)
         scored = rows.join(hint(weights), "term").groupBy("qid", "id").agg(F.round(F.sum(part), 9).alias("score"))
