@@ -28,6 +28,12 @@ FEATURE_BITS = 20
 PREFIXES = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.7
 SENTENCE_THRESHOLD = 0.5
+# A telling feature is so many times as frequent in documents marked toxic as in the others; copies of a few toxic
+# documents alone don't lift the rest of their words that far.
+LIFT = 20
+# Log odds of a sentence without any telling word: so low that hundreds of them are no evidence, and not so low that
+# a short word, which has few features, can't outweigh it.
+BIAS = (-9.0, -5.0)
 _BREAKS = np.zeros(256, bool)
 _BREAKS[list(b".!?\n")] = True
 
@@ -123,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         (pos if r["label"] else neg)[np.unique(np.frombuffer(r["feature"], "<i4"))] += 1
     odds = np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
     z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    chosen = np.flatnonzero((z > 2.5) & (pos >= 3) & (pos > 4 * neg * n_pos / max(n_neg, 1)))
+    chosen = np.flatnonzero((z > 2.5) & (pos >= 3) & (pos * n_neg >= LIFT * (neg + 1) * n_pos))
     rank = np.full(size, -1)
     rank[chosen] = np.arange(len(chosen))
     sent, feat, bag, base = [], [], [], 0
@@ -136,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         base += n
     sent, feat, bag = np.concatenate(sent), np.concatenate(feat), np.concatenate(bag)
     weight = np.where(y > 0, 0.5 / n_pos, 0.5 / max(n_neg, 1))
-    w, b, vw, vb = np.zeros(len(chosen)), -4.0, np.zeros(len(chosen)), 0.0
+    w, b, vw, vb = np.zeros(len(chosen)), BIAS[1], np.zeros(len(chosen)), 0.0
     # Common features of toxic documents start ahead, by how much they tell.
     w += np.clip(2 * (z[chosen] - 2.5), 0, 6)
     for _ in range(steps):
@@ -148,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         gw = np.bincount(feat, g[sent], minlength=len(chosen)) + 1e-5 * w
         gb = g.sum()
         vw, vb = 0.9 * vw - 2.0 * gw, 0.9 * vb - 2.0 * gb
-        w, b = np.maximum(w + vw, 0), min(b + vb, -4.0)
+        w, b = np.maximum(w + vw, 0), min(max(b + vb, BIAS[0]), BIAS[1])
     weights = np.zeros(size, np.float32)
     weights[chosen] = w
     return Model(weights, float(b))
