@@ -105,3 +105,34 @@ def plan_ingest(dates: DataFrame, versions: DataFrame) -> DataFrame:
     covered = days.join(v, (F.col("f") <= F.col("day")) & (F.col("t").isNull() | (F.col("day") < F.col("t"))))
     jobs = covered.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("section", "record_id"))).alias("intervals"))
     return jobs.select("day", F.concat(F.lit("snapshot:"), F.col("day").cast("string")).alias("idempotency_key"), F.to_json(F.struct(F.col("day"), F.col("intervals"))).alias("payload"), F.size("intervals").alias("n"))
+
+
+def drain(table, queue, handlers: dict, worker: str = "worker", *, batch: int = 64, visibility: float = 30.0, now=None) -> dict[str, int]:
+    """Claims, runs and ends jobs until none is eligible; returns how many were processed and failed.
+
+    table reads and replaces the table of jobs. A claimed batch goes through its kind's handler as a DataFrame; the
+    handler returns (id, error) rows for the jobs that failed. A kind without a handler fails. Retries wait for their
+    time, so that a failed job is not met again in the same run unless its delay is over.
+    """
+    done = {"processed": 0, "failed": 0}
+    clock = now or F.current_timestamp
+    while True:
+        jobs = reap(table.read(), queue, clock())
+        ids = [r["id"] for r in claimable(jobs, queue, clock(), batch).select("id").collect()]  # at most one batch
+        if not ids:
+            return done
+        table.replace(claim(jobs, queue, worker, clock(), limit=batch, visibility=visibility))
+        mine = table.read().filter(F.col("id").isin(ids))
+        bad = []
+        for (kind,) in mine.select("kind").distinct().collect():
+            part = mine.filter(F.col("kind") == kind)
+            if kind in handlers:
+                bad += [(r["id"], r["error"]) for r in handlers[kind](part).collect()]
+            else:
+                bad += [(r["id"], f"no handler for {kind}") for r in part.select("id").collect()]
+        errors = table.spark.createDataFrame(bad, "id long, error string")
+        leases = mine.select("id", "lease_epoch")
+        after = ack(table.read(), leases.join(F.broadcast(errors.select("id")), "id", "left_anti"), clock())
+        table.replace(nack(after, leases.join(F.broadcast(errors), "id"), clock()))
+        done["failed"] += len(bad)
+        done["processed"] += len(ids) - len(bad)

@@ -78,3 +78,14 @@ class LexicalIndex:
         scored = rows.join(hint(weights), "term").groupBy("qid", "id").agg(F.round(F.sum(part), 9).alias("score"))
         best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
         return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def match_all(index: DataFrame, queries: DataFrame, k: int = 10, *, admissible: DataFrame | None = None) -> DataFrame:
+    """(qid, id, hits, rank) of documents that hold every term of a query, those with most occurrences first. A plain
+    stand-in for a database's full-text match; terms are not stemmed."""
+    terms = queries.select("qid", F.explode(F.array_distinct(tx.tokens(F.col("query")))).alias("term"))
+    need = terms.groupBy("qid").agg(F.count(F.lit(1)).alias("need"))
+    rows = index if admissible is None else index.join(admissible.select("id"), "id", "left_semi")
+    met = rows.join(terms, "term").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("met"), F.sum("tf").alias("hits"))
+    full = met.join(need, "qid").filter(F.col("met") == F.col("need"))
+    return full.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("hits"), "id"))).filter(F.col("rank") <= k).select("qid", "id", "hits", "rank")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chronolode.functions import numbers as nm
 from chronolode.functions import text as tx
 from chronolode.operators import evaluation as ev
-from chronolode.operators import fusion, lexical, temporal
+from chronolode.operators import fusion, lexical, suite, temporal
 from chronolode.operators import vectors as vx
 from chronolode.plans import views as v
 
@@ -228,6 +228,12 @@ def _knn(admissible: bool, k: int, name: str = "nn") -> str:
   FROM (SELECT qid, vecs.id, round(1 - list_dot_product(vecs.vector, vq.vector), 12) AS distance FROM vecs, vq {f}) QUALIFY rank <= {k})"""
 
 
+@query(f"{_LEX}, {v.TEXT_Q}, qt AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest({_tok('query')}) AS term FROM tq)), nt AS (SELECT qid, count(*) AS need FROM qt GROUP BY 1), "
+       "m AS (SELECT qid, id, count(*) AS met, sum(tf)::BIGINT AS hits FROM post JOIN qt USING (term) GROUP BY 1, 2) SELECT qid, id, hits, (row_number() OVER (PARTITION BY qid ORDER BY hits DESC, id))::INT AS rank FROM m JOIN nt USING (qid) WHERE met = need QUALIFY rank <= 10")
+def fts_match_all(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.match_all(lexical.postings(v.chunks(spark, d)), v.text_queries(spark))
+
+
 _KNN = f"{_CTE}, {_ADM}, {v.VECTORS}"
 
 
@@ -421,3 +427,10 @@ def two_nn_dimension(spark: SparkSession, d: str) -> DataFrame:
     return g.select("n_vectors", "n_distinct", F.round("intrinsic_dim", 4).alias("intrinsic_dim"), F.round("mean_nn_distance", 6).alias("mean_nn_distance"))
 
 
+
+
+@query()
+def index_suite(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of every index at two efforts."""
+    builders = {"exact": vx.ExactIndex, "cells": vx.CellIndex, "graph": vx.GraphIndex}
+    return suite.run_suite(v.vectors(spark, d), v.vector_queries(spark, d), builders, {"cells": (1, 8), "graph": (16, 64)}).drop("build_s", "query_s")

@@ -13,10 +13,10 @@ from chronolode.functions import numbers as nm
 from chronolode.functions import text as tx
 from chronolode.functions import vectors as vf
 from chronolode.operators import answers as an
-from chronolode.operators import embedcache, fusion, jobs, lexical, sections, temporal
+from chronolode.operators import embedcache, fusion, jobs, lexical, sections, suite, temporal
 from chronolode.operators import evaluation as ev
 from chronolode.operators import vectors as vx
-from chronolode.sources import feeds, store
+from chronolode.sources import feeds, store, traces
 from chronolode.streaming import events as streams
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -333,3 +333,34 @@ def test_percentiles_and_rollup(spark):
     df = spark.createDataFrame(pd.DataFrame({"k": ["a"] * 101 + ["b"], "v": [float(i) for i in range(101)] + [7.0]}))
     got = {r["k"]: (r["p50"], r["p95"], r["p99"], r["n"]) for r in ev.percentiles(df, ["k"], "v").collect()}
     assert got == {"a": (50.0, 95.0, 99.0, 101), "b": (7.0, 7.0, 7.0, 1)}
+
+
+def test_drain(spark, tmp_path):
+    t = store.Table(spark, str(tmp_path / "jobs"), JOB)
+    t.append(one_job(spark).unionByName(one_job(spark, id=2, kind="other")).unionByName(one_job(spark, id=3)))
+    failing = lambda df: df.filter("id = 3").select("id", F.lit("boom").alias("error"))
+    assert jobs.drain(t, "q", {"k": failing}, now=lambda: F.lit(T0)) == {"processed": 1, "failed": 2}
+    rows = {r["id"]: r for r in t.read().collect()}
+    assert rows[1]["state"] == "succeeded" and rows[2]["state"] == rows[3]["state"] == "pending" and rows[2]["last_error"] == "no handler for other"
+    late = lambda: F.lit(T0 + dt.timedelta(hours=1))
+    assert jobs.drain(t, "q", {"k": failing}, now=late) == {"processed": 0, "failed": 2}
+    assert [r["state"] for r in t.read().filter("id > 1").collect()] == ["dead", "dead"]
+
+
+def test_traces(spark, tmp_path):
+    t = store.Table(spark, str(tmp_path / "t"), store.TRACES)
+    turn = spark.createDataFrame([(1, 5, 0, "q", "q", D(2020, 1, 1), True, [7], "r"), (2, 5, 1, "q", "other", D(2020, 1, 1), False, [], "r")], "id long, conversation_id long, turn int, query string, resolved_query string, as_of date, answered boolean, cited array<long>, run_id string")
+    cand = spark.createDataFrame([(1, 2, 8, "b", "y" * 900, 0.1), (1, 1, 7, "a", "x", 0.2)], "id long, rank int, chunk long, citation_path string, text string, score double")
+    traces.persist(t, turn, cand)
+    r = traces.read(t, 1).first()
+    found = json.loads(r["candidates"])
+    assert [c["id"] for c in found] == [7, 8] and len(found[1]["snippet"]) == 400 and r["resolved_query"] is None
+    assert traces.read(t, 2).first()["resolved_query"] == "other"
+
+
+def test_suite(spark):
+    rows, q = suite.split(suite.random_units(spark, 400, 8, 1).persist(), 20)
+    assert q.count() == 20 and rows.count() == 380
+    got = {(r["index"], r["effort"]): r["recall"] for r in suite.run_suite(rows, q, {"exact": vx.ExactIndex, "cells": lambda x: vx.CellIndex(x, n_lists=10)}, {"cells": (1, 10)}).collect()}
+    assert got[("exact", None)] == got[("cells", 10)] == 1.0 > got[("cells", 1)] > 0.2
+    assert suite.memory_bytes(10, 4, 2) == 10 * 24 + 2 * 24
