@@ -43,6 +43,7 @@ _CUT_WORDS = frozenset(
     "popup privacy promo promoted promotion promotions recommend recommended related replies reply respond responses rss search share sharing sidebar signup skip skyscraper social "
     "sponsor sponsored subscribe subscription taboola teaser toolbar topbar widget widgets".split())
 _OF_ARTICLE = frozenset("header banner byline".split())
+_COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
 _ARTICLE_WORDS = frozenset("article entry post story content".split())
 
 
@@ -142,9 +143,14 @@ class _Page:
         """Nodes that are not part of the article by what they are, with all below them."""
         n = len(self.tag)
         holds = [t in ("h1", "main", "body") for t in self.tag]
+        chars = [0] * n
+        for piece in self.pieces:
+            if piece is not None and self.tag[piece[0]] not in _CUT:
+                chars[piece[0]] += len(piece[1])
         frames = [t in ("article", "main", "body") for t in self.tag]
         for i in range(n - 1, 0, -1):
             holds[self.parent[i]] |= holds[i]
+            chars[self.parent[i]] += chars[i] if self.tag[i] not in _CUT else 0
             frames[self.parent[i]] |= frames[i]
         inside = [False] * n  # an article or main
         out = [False] * n
@@ -166,7 +172,9 @@ class _Page:
             elif words and (bad := words & _CUT_WORDS):
                 if bad <= _OF_ARTICLE and (inside[p] or words & _ARTICLE_WORDS):
                     continue
-                out[i] = not holds[i] or "header" in bad and not inside[i] and not frames[i]
+                # A frame named for what it also holds: most of the page's text is not a sidebar.
+                frame = not bad & _COMMENT_WORDS and 5 * chars[i] >= 4 * chars[0] and not words & {"header", "footer"}
+                out[i] = not (holds[i] or frame) or "header" in bad and not inside[i] and not frames[i]
         return out
 
 

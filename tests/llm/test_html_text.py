@@ -19,6 +19,21 @@ def test_leaves_noise(frame, noise):
     assert extract(page) == TEXT
 
 
+FRAMES = ['<div class="page has-sidebar">{}</div>', '<div id="nav-open"><div class="content-with-menu"><article>{}</article></div></div>', '<form id="aspnet"><div><h1>A title</h1>{}</div></form>']
+
+
+@pytest.mark.parametrize("frame", FRAMES)
+def test_frames_named_like_noise(frame):
+    body = "<p>" + "More words of the article stand here to make it long. " * 12 + "</p>"
+    got = extract(f"<html><body><nav><a href=/>Home</a></nav>{frame.format(body)}<div class='sidebar'>Other things.</div></body></html>")
+    assert got.removeprefix("A title ") == ("More words of the article stand here to make it long. " * 12).strip()
+
+
+def test_comments_go_however_long():
+    comments = '<div class="comments">' + "<article class='comment'><p>I think so too, and I say it at length.</p></article>" * 60 + "</div>"
+    assert extract(f"<body><article>{BODY}</article>{comments}</body>") == TEXT
+
+
 def test_all_noise_and_heading():
     page = "<html><body>" + "".join(NOISE) + f"<article><h1>A <i>title</i></h1>{BODY}</article>" + "".join(NOISE)
     assert extract(page) == f"A title {TEXT}"
