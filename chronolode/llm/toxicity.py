@@ -6,8 +6,8 @@ document labels alone: a sentence takes blame for its document in proportion to
 the same model then locates the offending sentences.
 
 The classifier is fitted on at most MAX_EACH documents of each label, those with the smallest hash of their id. Their
-ids, a table of bounded size, are broadcast; features are made on the executors; the driver gets a few integers a
-word of that sample. Every document is scored, row by row and without a shuffle.
+ids, a table of bounded size, are broadcast; features are made and counted on the executors; the driver gets the
+telling ones and where the sample's sentences hold them. Every document is scored, row by row and without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronolode.llm import _grid
+from chronolode.llm._session import checkpoint
 
 MAX_EACH = 3000
 FEATURE_BITS = 20
@@ -113,38 +114,63 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["label", "sentence", "feature"])
 
 
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, pos, neg): documents of each label that hold a feature."""
+    counts = np.zeros((2, 1 << FEATURE_BITS), np.int32)
+    for batch in batches:
+        for label, f in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            counts[1 - label, np.unique(np.frombuffer(f.as_py(), "<i4"))] += 1
+    some = np.flatnonzero(counts.any(axis=0))
+    yield pa.record_batch([pa.array(some.astype(np.int32)), *(pa.array(c[some].astype(np.int64)) for c in counts)], ["feature", "pos", "neg"])
+
+
+def _picked(chosen: np.ndarray):
+    """Sentences and places in `chosen` (sorted) of the features that it has, and each document's number of sentences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, sent, feat = [], [], []
+            for s, f in zip(batch.column(1), batch.column(2), strict=True):
+                s, f = np.frombuffer(s.as_py(), "<i4"), np.frombuffer(f.as_py(), "<i4")
+                own = np.isin(f, chosen)
+                n.append(int(s[-1]) + 1 if len(s) else 0)
+                sent.append(s[own].astype("<i4").tobytes())
+                feat.append(np.searchsorted(chosen, f[own]).astype("<i4").tobytes())
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int32()), pa.array(sent, pa.binary()), pa.array(feat, pa.binary())], ["label", "n", "sentence", "feature"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_each: int = MAX_EACH, steps: int = 400) -> Model:
     """Learns from documents that `labels` (doc_id, toxic) marks and that are not held out; null labels and ids say
     nothing; of rows of the same id the largest label holds. Without any toxic example the model finds nothing."""
-    rows = _sample(docs, labels, doc_id, text, max_each).mapInArrow(_features, "label int, sentence binary, feature binary").collect()
-    rows.sort(key=lambda r: (r["label"], r["feature"]))  # the same sums in every run
+    rows = checkpoint(_sample(docs, labels, doc_id, text, max_each).mapInArrow(_features, "label int, sentence binary, feature binary"))
     size = 1 << FEATURE_BITS
-    y = np.array([r["label"] for r in rows], float)
-    n_pos, n_neg = y.sum(), (1 - y).sum()
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not n_pos:
         return Model(np.zeros(size, np.float32), -12.0)
     # Of features only those that documents marked toxic hold clearly more often: log odds over their standard error.
-    pos, neg = np.zeros(size), np.zeros(size)
-    for r in rows:
-        (pos if r["label"] else neg)[np.unique(np.frombuffer(r["feature"], "<i4"))] += 1
-    odds = np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
-    z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    chosen = np.flatnonzero((z > 2.5) & (pos >= 3) & (pos * n_neg >= LIFT * (neg + 1) * n_pos))
-    rank = np.full(size, -1)
-    rank[chosen] = np.arange(len(chosen))
-    sent, feat, bag, base = [], [], [], 0
-    for d, r in enumerate(rows):
-        s, f = np.frombuffer(r["sentence"], "<i4"), rank[np.frombuffer(r["feature"], "<i4")]
-        n = int(s[-1]) + 1 if len(s) else 0
-        sent.append(s[f >= 0] + base)
-        feat.append(f[f >= 0])
-        bag.append(np.full(n, d))
-        base += n
-    sent, feat, bag = np.concatenate(sent), np.concatenate(feat), np.concatenate(bag)
+    # Only these leave the executors.
+    pos, neg = F.col("pos"), F.col("neg")
+    odds = F.log((pos + 0.5) / (n_pos - pos + 0.5)) - F.log((neg + 0.5) / (n_neg - neg + 0.5))
+    z = odds / F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+    held = rows.mapInArrow(_holders, "feature int, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    telling = held.withColumn("z", z).filter((F.col("z") > 2.5) & (pos >= 3) & (pos * n_neg >= LIFT * (neg + 1) * n_pos))
+    found = sorted((r["feature"], r["z"]) for r in telling.select("feature", "z").collect())
+    chosen, score_z = np.array([f for f, _ in found], np.int64), np.array([v for _, v in found])
+    picked = [tuple(r) for r in rows.mapInArrow(_picked(chosen), "label int, n int, sentence binary, feature binary").collect()]
+    picked.sort()  # the same sums in every run
+    y = np.array([r[0] for r in picked], float)
+    n_sent = np.array([r[1] for r in picked])
+    first = np.cumsum(n_sent) - n_sent
+    bag, base = np.repeat(np.arange(len(picked)), n_sent), int(n_sent.sum())
+    sent = np.concatenate([np.frombuffer(r[2], "<i4") + b for r, b in zip(picked, first, strict=True)])
+    feat = np.concatenate([np.frombuffer(r[3], "<i4") for r in picked])
     weight = np.where(y > 0, 0.5 / n_pos, 0.5 / max(n_neg, 1))
     w, b, vw, vb = np.zeros(len(chosen)), BIAS[1], np.zeros(len(chosen)), 0.0
     # Common features of toxic documents start ahead, by how much they tell.
-    w += np.clip(2 * (z[chosen] - 2.5), 0, 6)
+    w += np.clip(2 * (score_z - 2.5), 0, 6)
     for _ in range(steps):
         x = b + np.bincount(sent, w[feat], minlength=base)
         miss = np.minimum(np.bincount(bag, _log_miss(x), minlength=len(y)), -1e-9)
