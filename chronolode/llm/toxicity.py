@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's probability is a logistic function of the weights of its words and
-word beginnings (each counted once); the document's is their noisy-or, 1 - prod(1 - p). Weights are learned from
-document labels alone: a sentence takes blame for its document in proportion to what it adds to the noisy-or, so that
+word beginnings (each counted once); the document's is the noisy-or, 1 - prod(1 - p), of the sentences that hold a
+telling feature. A sentence without one is no evidence and adds nothing to a score, however many there are; only in
+learning it counts by the bias, which plain sentences of clean documents hold down. Weights are learned from document labels alone: a sentence takes blame for its document in proportion to what it adds to the noisy-or, so that
 the same model then locates the offending sentences.
 
 The classifier is fitted on at most MAX_EACH documents of each label, those with the smallest hash of their id. Their
@@ -32,8 +33,8 @@ SENTENCE_THRESHOLD = 0.5
 # A telling feature is so many times as frequent in documents marked toxic as in the others; copies of a few toxic
 # documents alone don't lift the rest of their words that far.
 LIFT = 20
-# Log odds of a sentence without any telling word: so low that hundreds of them are no evidence, and not so low that
-# a short word, which has few features, can't outweigh it.
+# Log odds from which a sentence's telling features start: not so low that a short word, which has few features, can't
+# outweigh it. Sentences without any stay out of the noisy-or.
 BIAS = (-9.0, -5.0)
 _BREAKS = np.zeros(256, bool)
 _BREAKS[list(b".!?\n")] = True
@@ -80,11 +81,13 @@ class Model:
     bias: float
 
     def logits(self, f: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
-        x = np.full(n, self.bias)
+        """Log odds of each of n sentences; -inf without any telling feature."""
+        x = np.full(n, -np.inf)
         w = self.weights[f]
         row, word = np.nonzero(w)
         if len(word):  # each feature once a sentence
             key = np.unique((sentence[word].astype(np.int64) << FEATURE_BITS) | f[row, word])
+            x[key >> FEATURE_BITS] = self.bias
             np.add.at(x, key >> FEATURE_BITS, self.weights[key & ((1 << FEATURE_BITS) - 1)])
         return x
 

@@ -64,3 +64,14 @@ def test_offsets_are_code_points(spark):
     text = "Été 😀 là. Dann zukworten hier! Ende"
     r = tox.score(spark.createDataFrame([(0, "vorher"), (1, text)], "doc_id long, text string"), model).filter("doc_id = 1").first()
     assert [text[x["start"] : x["end"]] for x in r["sentences"]] == ["Dann zukworten hier"]
+
+
+def test_plain_sentences_are_no_evidence(spark):
+    """Any number of sentences without a telling feature scores 0; one sentence that has some is found among them."""
+    docs, labels = corpus()
+    model = tox.fit(spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    plain = "Hhh jjj kkk. " * 50_000 + "Hhh jjj kkk\n" * 50_000
+    rows = tox.score(spark.createDataFrame([(0, plain), (1, plain + "hhh zukworten jjj"), (2, "hhh zukworten jjj")], "doc_id long, text string"), model).collect()
+    by = {r["doc_id"]: r for r in rows}
+    assert (by[0]["score"], by[0]["predicted"], by[0]["sentences"]) == (0, 0, [])
+    assert by[1]["score"] == by[2]["score"] and by[1]["predicted"] == 1 and len(by[1]["sentences"]) == 1
