@@ -4,7 +4,8 @@ A page becomes a tree; markup that never holds the article (scripts, menus, form
 element and by the words of class, id and role) is cut off. Of every remaining node the composite density is computed,
 its characters for each tag, lowered by the share of link characters and link tags against the rest of the page. The
 node whose children's densities have the largest sum is the article's subtree; the smallest density on its path to
-body is the threshold for further subtrees beside it.
+body is the threshold for further subtrees beside it. Where no article or main element encloses it, the article is all
+that stands beside it, less what is mostly links, up to the common ancestor with the subtrees over the threshold.
 
 Each page is read on its own, in one pass over its characters; no state is shared between rows.
 """
@@ -178,8 +179,8 @@ class _Page:
         return out
 
 
-def _densities(page: _Page, out: list[bool], size: list[int]) -> tuple[list[float], list[int]]:
-    """Composite density of every node, and its characters."""
+def _densities(page: _Page, out: list[bool], size: list[int]) -> tuple[list[float], list[int], list[int]]:
+    """Composite density of every node, its characters, and those of links."""
     n = len(page.tag)
     chars, tags, link_chars, link_tags, link = size[:], [0] * n, [0] * n, [0] * n, [False] * n
     for i in range(1, n):
@@ -202,13 +203,13 @@ def _densities(page: _Page, out: list[bool], size: list[int]) -> tuple[list[floa
         c, t, lc, lt = chars[i], max(tags[i], 1), link_chars[i], link_tags[i]
         base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
         density[i] = c / t * math.log(max(c / max(lc, 1) * (t / max(lt, 1)), 1.0) + 1e-9) / math.log(max(base, 1.0) + 1.0)
-    return density, chars
+    return density, chars, link_chars
 
 
 def _select(page: _Page, out: list[bool], size: list[int]) -> list[bool]:
     """Nodes of the article."""
     n = len(page.tag)
-    density, chars = _densities(page, out, size)
+    density, chars, link_chars = _densities(page, out, size)
     total = [0.0] * n
     for i in range(1, n):
         total[page.parent[i]] += density[i]
@@ -250,7 +251,10 @@ def _select(page: _Page, out: list[bool], size: list[int]) -> list[bool]:
             j = page.parent[j]
         return at
 
-    chosen[frame(best)] = True
+    main = frame(best)
+    if page.tag[main] not in ("article", "main"):
+        return _around(page, below, chars, link_chars, size, body, main, [i for i in inner if density[i] >= threshold and _beside(page, i, body, main)])
+    chosen[main] = True
     for i in inner:
         p = page.parent[i]
         if i == body or chosen[i] or chosen[p] or not _beside(page, i, body, best):
@@ -262,6 +266,33 @@ def _select(page: _Page, out: list[bool], size: list[int]) -> list[bool]:
     return chosen
 
 
+def _around(page: _Page, below: list[bool], chars: list[int], link_chars: list[int], size: list[int], body: int, main: int, dense: list[int]) -> list[bool]:
+    """The main node and what stands beside it, up to the common ancestor with all dense nodes, but for lists of links."""
+    path = [main]
+    while path[-1] != body:
+        path.append(page.parent[path[-1]])
+    level = {j: k for k, j in enumerate(path)}
+    top = min(1, len(path) - 1)
+    for i in dense:
+        if 2 * link_chars[i] >= chars[i]:
+            continue
+        while i not in level:
+            i = page.parent[i]
+        top = max(top, level[i])
+    chosen = [False] * len(page.tag)
+    chosen[main] = True
+    for i in range(body + 1, len(page.tag)):
+        p = page.parent[i]
+        if chosen[p]:
+            chosen[i] = below[i]
+        elif below[i] and chars[i] and i not in level and 0 < level.get(p, -1) <= top:
+            # A link within a text that stands in the ancestor itself is part of that text.
+            chosen[i] = 2 * link_chars[i] < chars[i] or page.tag[i] == "h1" or page.tag[i] in _INLINE and size[p] > 0
+    for j in path[1 : top + 1]:
+        chosen[j] = True  # its own text; its children are settled
+    return chosen
+
+
 def _beside(page: _Page, i: int, body: int, best: int) -> bool:
     """Whether a node lies off the path from the best one to body."""
     j = best

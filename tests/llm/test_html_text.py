@@ -55,3 +55,13 @@ def test_rows(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, "u", TEXT, len(TEXT))] * 2 + [(None, None, "", 0)]))
     assert extract_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tags", ["section section section", "section div section", "div section div"])
+@pytest.mark.parametrize("sizes", [(300, 100, 300), (300, 100, 100), (100, 300, 50)])
+def test_sections_without_an_article_element(tags, sizes):
+    parts = [" ".join(["w" * (n - 1)] * 5) for n in sizes]
+    body = "".join(f"<{t}>" + "".join(f"<p>{w}</p>" for w in x.split()) + f"</{t}>" for t, x in zip(tags.split(), parts, strict=True))
+    links = "<div>" + "<a href=x>elsewhere</a> " * 5 + "</div>" if sizes[0] == sizes[2] else ""
+    got = extract(f"<html><body>{NOISE[0]}<div><h1>Ten letter</h1>{body}{links}</div>{NOISE[2]}</body></html>")
+    assert got == " ".join(["Ten letter", *parts])
