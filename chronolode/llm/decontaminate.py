@@ -5,16 +5,15 @@ with positions. Exact containment needs all of them, so a prefix of one shingle
 over all documents. Documents are joined with the windows on that shingle alone; length and positional bounds drop
 starts whose window would leave the document, and what is left is verified word by word.
 
-The benchmark is a stated query set. It is taken in blocks of at most ``block_words`` words, whose index (its size is
-bounded by the block) goes to the executors, so that no document row is shuffled, whatever the sizes; a larger
-benchmark makes more passes, each of which adds to the rows' spans. The first pass of a block counts its shingles
-over all documents (a map-side sum of one row a shingle and batch), the second one joins.
+Both sides are tables, whatever the size of the benchmark. Windows and their shingles are made on the executors. One
+pass over the documents counts the benchmark's shingles, one emits the places where a window's rarest shingle stands,
+with the words around them; a filter of bits, whose size is bounded (BITS), keeps other shingles out of both shuffles.
+The places are joined with the windows, each window in SALTS copies, so that a passage that many documents share is
+spread over as many tasks. Whole texts are never shuffled to find hits.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,212 +23,203 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronolode.llm import _grid
+from chronolode.llm._session import checkpoint
 
 WINDOW = 13
 SHINGLE = 5
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_SPANS = "_hit_spans"
-_ITEMS = "_hit_items"
-_OUT = T.StructType([
-    T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
-    T.StructField("items", T.ArrayType(T.LongType())), T.StructField("items_sha256", T.StringType()),
-    T.StructField("contaminated", T.BooleanType()),
-])
+#: The filter has 32 bits for each of its hashes, within these bounds (2 ** 27 bits are 16 MB).
+BITS = (20, 27)
+SALTS = 16
+_BUCKET = 1 << 15  # bits in a row of Spark's bitmaps
+ADDED = ("n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated")
 
 
 def text_words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").translate(_UPPER))
-
-
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
-    block, n = [], 0
-    for row in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
-        if w := text_words(row["text"]):
-            block.append((row["item_id"], w))
-            n += len(w)
-        if n >= block_words:
-            yield block
-            block, n = [], 0
-    yield block
-
-
-def _hash_words(w: list[str]) -> np.ndarray:
-    raw = [x.encode() for x in w]
-    ends = np.cumsum([len(x) for x in raw], dtype=np.int64)
-    return _grid.hash_slices(np.frombuffer(b"".join(raw), np.uint8), ends - [len(x) for x in raw], ends)
-
-
-class _Index:
-    """Windows of one block: each distinct word sequence once, with the items that hold it."""
-
-    def __init__(self, block: list[tuple[int, list[str]]], window: int, shingle: int):
-        seen: dict[tuple[str, ...], set] = {}
-        for item, w in block:
-            n = min(window, len(w))
-            for i in range(len(w) - n + 1):
-                seen.setdefault(tuple(w[i : i + n]), set()).add(item)
-        self.texts = [" ".join(w).encode() for w in seen]
-        self.items = [sorted(x for x in v if x is not None) for v in seen.values()]
-        self.length = np.array([len(w) for w in seen], np.int64)
-        hashes = [_hash_words(list(w)) for w in seen]
-        self.full = np.array([_grid.sequence_hash(h, len(h))[0] for h in hashes], np.uint64)
-        self.sizes = sorted({min(shingle, len(h)) for h in hashes})
-        self.parts = [(min(shingle, len(h)), _grid.sequence_hash(h, min(shingle, len(h)))) for h in hashes]
-        self.shingles = {s: np.unique(np.concatenate([p for k, p in self.parts if k == s])) for s in self.sizes}
-
-    def choose(self, counts: dict[int, np.ndarray]) -> None:
-        """Keep of each window the rarest shingle; equal counts: the smallest hash, which overlapping windows share."""
-        key: dict[int, list] = {s: [] for s in self.sizes}
-        for w, (s, p) in enumerate(self.parts):
-            c = counts[s][np.searchsorted(self.shingles[s], p)]
-            at = int(np.lexsort((p, c))[0])
-            key[s].append((int(p[at]), at, w))
-        self.anchors = {}
-        for s, rows in key.items():
-            rows.sort()
-            h = np.array([r[0] for r in rows], np.uint64)
-            keys, first = np.unique(h, return_index=True)
-            self.anchors[s] = (keys, np.append(first, len(rows)), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
-        del self.parts, self.shingles
-
-
-def _members(h: np.ndarray, keys: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in h of values in the sorted keys, and their ranks; bits rules most values out first."""
-    at = np.flatnonzero(bits[h >> np.uint64(64 - 20)])
-    rank = np.searchsorted(keys, h[at])
-    rank[rank == len(keys)] = 0
-    ok = keys[rank] == h[at] if len(keys) else np.zeros(len(at), bool)
-    return at[ok], rank[ok]
-
-
-def _bits(keys: np.ndarray) -> np.ndarray:
-    b = np.zeros(1 << 20, bool)
-    b[keys >> np.uint64(64 - 20)] = True
-    return b
-
-
-def _count(df: DataFrame, column: str, index: _Index) -> dict[int, np.ndarray]:
-    shared = df.sparkSession.sparkContext.broadcast(index.shingles)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, keys = _grid.fold_table(), shared.value
-        bits = {s: _bits(k) for s, k in keys.items()}
-        totals = {s: np.zeros(len(k), np.int64) for s, k in keys.items()}
+    """The words of a text: A-Z lowered; runs of letters, digits and everything from U+0080 on."""
+    data = pa.array([text], pa.string())
+    return [w.buf[a:b].tobytes().decode() for w in _grid.words(*_grid.buffers(data), _grid.fold_table()) for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
+
+
+def _windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
+    """(item, s, hashes, words): each window of each item, with the hashes of its shingles of s words in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _grid.fold_table()
+        for batch in batches:
+            for w in _grid.words(*_grid.buffers(batch.column(1)), table):
+                h = w.hashes()
+                joined = [w.buf[a:b].tobytes() for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
+                for d, (lo, hi) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
+                    n = min(window, hi - lo)
+                    if not n:
+                        continue
+                    s = min(shingle, n)
+                    g = _grid.sequence_hash(h[lo:hi], s).view(np.int64)
+                    starts = range(hi - lo - n + 1)
+                    yield pa.record_batch([
+                        pa.repeat(batch.column(0)[w.lo + d], len(starts)), pa.array([s] * len(starts), pa.int32()),
+                        pa.array([g[i : i + n - s + 1] for i in starts], pa.list_(pa.int64())),
+                        pa.array([[x.decode("utf-8", "replace") for x in joined[lo + i : lo + i + n]] for i in starts], pa.list_(pa.string())),
+                    ], ["item", "s", "hashes", "words"])
+
+    rows = benchmark.select(F.col("item_id").alias("item"), F.col("text").alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["item"], T.StructField("s", T.IntegerType()), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.StringType()))]))
+
+
+class _Filter:
+    """Two bits for each of a set of hashes; other hashes pass by chance, in about 4 of 1,000 cases up to the bound."""
+
+    def __init__(self, hashes: DataFrame):
+        """hashes(s, h) without repeats."""
+        sizes = {r["s"]: r["count"] for r in hashes.groupBy("s").count().collect()}  # at most the shingle size
+        n = sum(sizes.values())
+        self.power = min(max((32 * n - 1).bit_length() if n else 0, BITS[0]), BITS[1])
+        h = F.col("h")
+        places = F.explode(F.array(*[F.shiftrightunsigned(x, 64 - self.power) for x in (h, F.shiftleft(h, 28))])).alias("p")
+        rows = hashes.select(places).groupBy(F.expr(f"p div {_BUCKET}").alias("b")).agg(F.expr(f"bitmap_construct_agg(p % {_BUCKET})").alias("bits")).collect()  # at most 2 ** 27 bits
+        packed = np.zeros((1 << self.power) // 8, np.uint8)
+        for r in rows:
+            packed[r["b"] * _BUCKET // 8 : (r["b"] + 1) * _BUCKET // 8] = np.frombuffer(r["bits"], np.uint8)
+        self.packed = packed
+        self.sizes = sorted(sizes)
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Positions in h that may be in the set."""
+        def on(p: np.ndarray) -> np.ndarray:
+            return (self.packed[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
+
+        shift = np.uint64(64 - self.power)
+        at = np.flatnonzero(on(h >> shift))
+        return at[on((h[at] << np.uint64(28)) >> shift) > 0]
+
+
+def _counts(docs: DataFrame, text: str, known: DataFrame) -> DataFrame:
+    """(s, h, n): how often the shingles of known(s, h), and some others, stand in the documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(_Filter(known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, keep = _grid.fold_table(), shared.value
         for batch in batches:
             for w in _grid.words(*_grid.buffers(batch.column(0)), table):
                 h, doc = w.hashes(), w.doc()
-                for s, k in keys.items():
+                for s in keep.sizes:
                     g = _grid.sequence_hash(h, s)
-                    at, rank = _members(g, k, bits[s])
-                    rank = rank[doc[at] == doc[at + s - 1]]
-                    totals[s] += np.bincount(rank, minlength=len(k))
-        for s, t in totals.items():
-            got = np.flatnonzero(t)
-            yield pa.record_batch([pa.array(np.full(len(got), s), pa.int32()), pa.array(got, pa.int64()), pa.array(t[got], pa.int64())], ["s", "k", "n"])
-
-    rows = df.select(column).mapInArrow(count, "s int, k long, n long").groupBy("s", "k").agg(F.sum("n").alias("n")).collect()
-    shared.unpersist()
-    counts = {s: np.zeros(len(k), np.int64) for s, k in index.shingles.items()}
-    for r in rows:
-        counts[r["s"]][r["k"]] = r["n"]
-    return counts
-
-
-def _union_length(spans: np.ndarray) -> int:
-    """Number of positions in half-open spans that ascend by start."""
-    reach = np.maximum.accumulate(spans[:, 1])
-    before = np.concatenate([[0], reach[:-1]])
-    return int(np.maximum(0, reach - np.maximum(spans[:, 0], before)).sum())
-
-
-def _match(index: _Index, w: _grid.Words, bits: dict[int, np.ndarray]) -> tuple[list[list], list[set]]:
-    """Of each document of w: spans of word positions of verified windows, and item ids."""
-    spans: list[list] = [[] for _ in range(len(w.first) - 1)]
-    items: list[set] = [set() for _ in spans]
-    h, doc = w.hashes(), w.doc()
-    for s, (keys, first, offset, window) in index.anchors.items():
-        g = _grid.sequence_hash(h, s)
-        at, rank = _members(g, keys, bits[s])
-        if not len(at):
-            continue
-        n = first[rank + 1] - first[rank]
-        pos = np.repeat(at, n)
-        entry = np.repeat(first[rank], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        win = window[entry]
-        d, begin = doc[pos], pos - offset[entry]
-        stop = begin + index.length[win]
-        ok = (begin >= w.first[d]) & (stop <= w.first[d + 1])  # length and position
-        d, begin, stop, win = d[ok], begin[ok], stop[ok], win[ok]
-        for size in np.unique(index.length[win]):
-            mine = index.length[win] == size
-            whole = _grid.sequence_hash(h, int(size))
-            mine[mine] = whole[begin[mine]] == index.full[win[mine]]
-            for a, b, x, v in zip(begin[mine].tolist(), stop[mine].tolist(), d[mine].tolist(), win[mine].tolist(), strict=True):
-                if b" ".join([w.buf[i:j].tobytes() for i, j in zip(w.starts[a:b].tolist(), w.ends[a:b].tolist(), strict=True)]) == index.texts[v]:
-                    spans[x].append((a - int(w.first[x]), b - int(w.first[x])))
-                    items[x].update(index.items[v])
-    return spans, items
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = WINDOW, shingle: int = SHINGLE,
-                  threshold: float = 0.05, block_words: int = 1_000_000) -> DataFrame:
-    """Adds n_words, n_hit, n_items, items, items_sha256 and contaminated to every row of docs.
+                    at = keep.places(g)
+                    own, n = np.unique(g[at[doc[at] == doc[at + s - 1]]], return_counts=True)
+                    yield pa.record_batch([pa.array(np.full(len(own), s), pa.int32()), pa.array(own.view(np.int64)), pa.array(n, pa.int64())], ["s", "h", "n"])
 
-    A row is a document of its own, whatever its id: repeated rows, null ids and other columns pass through as they
-    are, and a column of docs named like one that is added is replaced. A null text, an empty one and one without
-    words have 0 words and are not contaminated. Items that are null, empty or without words hit nothing; an item
-    with a null id hits words but has no part in items or n_items; rows with the same item_id are one item. An empty
-    benchmark contaminates nothing.
-    contaminated: n_hit > 0 and n_hit >= threshold * n_words.
-    """
-    keep = [f for f in docs.schema.fields if f.name not in {x.name for x in _OUT}]
-    names = [f.name for f in keep]
-    ratio = round(1 / threshold)
-    out = docs.select(*[F.col(f"`{n}`") for n in names])
-    blocks = _blocks(benchmark, block_words)
-    block, following = next(blocks), next(blocks, None)
-    carried = False
-    while True:
-        index = _Index(block, window, shingle)
-        index.choose(_count(docs, text, index))
-        out = _pass(out, keep, names, text, index, carried, following is None, ratio)
-        carried = True
-        if following is None:
-            return out
-        block, following = following, next(blocks, None)
-
-
-def _pass(df: DataFrame, keep: list, names: list[str], text: str, index: _Index, carried: bool, last: bool, ratio: int) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(index)
-    hits = [T.StructField(_SPANS, T.ArrayType(T.LongType())), T.StructField(_ITEMS, T.ArrayType(T.LongType()))]
+    return docs.select(text).mapInArrow(run, "s int, h long, n long").groupBy("s", "h").agg(F.sum("n").alias("n"))
+
+
+def _places(docs: DataFrame, doc_id: str, text: str, anchors: DataFrame, window: int) -> DataFrame:
+    """(doc_id, text_hash, s, h, at, before, words): places of the anchors' shingles, the word number of the first of
+    `words`, which stand around it within its document, and how many of them come before it."""
+    shared = docs.sparkSession.sparkContext.broadcast(_Filter(anchors))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(f"`{text}`").alias("text"))
+    names = ["doc_id", "text_hash", "s", "h", "at", "before", "words"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, keep = _grid.fold_table(), shared.value
+        for batch in batches:
+            for w in _grid.words(*_grid.buffers(batch.column(2)), table):
+                h, doc = w.hashes(), w.doc()
+                for s in keep.sizes:
+                    g = _grid.sequence_hash(h, s)
+                    at = keep.places(g)
+                    at = at[doc[at] == doc[at + s - 1]]
+                    if not len(at):
+                        continue
+                    d = doc[at]
+                    lo = np.maximum(w.first[d], at - (window - s))
+                    hi = np.minimum(w.first[d + 1], at + window)
+                    around = [[w.buf[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(w.starts[a:b].tolist(), w.ends[a:b].tolist(), strict=True)] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                    own = pa.array(d + w.lo)
+                    yield pa.record_batch([
+                        batch.column(0).take(own), batch.column(1).take(own), pa.array(np.full(len(at), s), pa.int32()), pa.array(g[at].view(np.int64)),
+                        pa.array(lo - w.first[d], pa.int64()), pa.array(at - lo, pa.int32()), pa.array(around, pa.list_(pa.string())),
+                    ], names)
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("text_hash", T.LongType()), T.StructField("s", T.IntegerType()), T.StructField("h", T.LongType()),
+                                              T.StructField("at", T.LongType()), T.StructField("before", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))]))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, text_hash, n_hit, spans, items) of documents that hold a window: spans are the word positions covered,
+    half open and merged; items are the distinct non-null item ids, sorted as strings. Rows that repeat are one."""
+    shingle = min(shingle, window)
+    found = _windows(benchmark, window, shingle)
+    win = F.xxhash64("words")
+    wins = checkpoint(found.groupBy(F.col("words")).agg(F.first("s").alias("s"), F.first("hashes").alias("hashes")))
+    shingles = wins.select("words", "s", F.posexplode("hashes").alias("pos", "h"))
+    known = shingles.select("s", "h").distinct()
+    counts = _counts(docs, text, known)
+    counted = shingles.join(known.join(counts, ["s", "h"], "left").select("s", "h", F.coalesce("n", F.lit(0)).alias("n")), ["s", "h"])
+    # The rarest shingle; of equal counts the smallest hash, which overlapping windows share. One that no document has
+    # can't be met, nor can its window.
+    anchors = counted.groupBy("words", "s").agg(F.min(F.struct("n", "h", "pos")).alias("a")).filter("a.n > 0").select("s", F.col("a.h").alias("h"), F.col("a.pos").alias("pos"), "words")
+    anchors = checkpoint(anchors)
+    places = _places(docs, doc_id, text, anchors.select("s", "h").distinct(), window).withColumn("salt", F.pmod(F.xxhash64("text_hash", "at"), F.lit(SALTS)))
+    spread = anchors.select("s", "h", "pos", F.col("words").alias("wanted"), F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
+    begin, size = F.col("before") - F.col("pos"), F.size("wanted")
+    met = places.join(spread, ["s", "h", "salt"]).filter((begin >= 0) & (begin + size <= F.size("words")))  # length and position
+    met = met.filter(F.slice("words", begin + 1, size) == F.col("wanted"))
+    start = F.col("at") + begin
+    met = checkpoint(met.select("doc_id", "text_hash", start.alias("start"), (start + size).alias("end"), F.xxhash64("wanted").alias("win")).distinct())
+    pieces = F.array_sort(F.collect_set(F.struct("start", "end")))
+    first = F.struct(F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"))
+
+    def join(acc, x):
+        last = F.element_at(acc, -1)
+        apart = x["start"] > last["end"]
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when(apart, F.concat(acc, F.array(x))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer)))
+
+    spans = F.aggregate("pieces", F.array(first), join, lambda acc: F.slice(acc, 2, F.size(acc)))
+    covered = met.groupBy("doc_id", "text_hash").agg(pieces.alias("pieces")).withColumn("spans", spans)
+    covered = covered.select("doc_id", "text_hash", F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"]).alias("n_hit"), "spans")
+    holders = found.filter("item is not null").select(win.alias("win"), "item").distinct()
+    items = met.select("doc_id", "text_hash", "win").distinct().join(holders, "win").groupBy("doc_id", "text_hash").agg(F.collect_set("item").alias("items"))
+    items = items.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.transform(F.array_sort(F.transform("items", lambda x: F.struct(x.cast("string").alias("s"), x.alias("x")))), lambda y: y["x"]).alias("items"))
+    out = covered.join(items, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    none = F.array().cast(T.ArrayType(benchmark.schema["item_id"].dataType))
+    return out.select("doc_id", "text_hash", "n_hit", "spans", F.coalesce("items", none).alias("items"))
+
+
+def _with_sizes(docs: DataFrame, text: str) -> DataFrame:
+    """docs with n_words."""
+    names = docs.columns
     column = names.index(text)
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, ix = _grid.fold_table(), shared.value
-        bits = {s: _bits(a[0]) for s, a in ix.anchors.items()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _grid.fold_table()
         for batch in batches:
-            n = batch.num_rows
-            spans, items, length = [], [], np.zeros(n, np.int64)
-            for w in _grid.words(*_grid.buffers(batch.column(column)), table):
-                a, b = _match(ix, w, bits)
-                length[w.lo : w.lo + len(a)] = np.diff(w.first)
-                spans += a
-                items += b
-            if carried:
-                for i, (s, x) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)):
-                    spans[i] += list(zip(s[::2], s[1::2], strict=True))
-                    items[i].update(x)
-            rows = batch.columns[: len(names)]
-            if last:
-                hit = [_union_length(np.array(sorted(set(s)))) if s else 0 for s in spans]
-                ids = [sorted(x) for x in items]
-                sha = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in ids]
-                bad = [k > 0 and ratio * k >= m for k, m in zip(hit, length.tolist(), strict=True)]
-                rows = [*rows, pa.array(length), pa.array(hit, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(sha, pa.string()), pa.array(bad, pa.bool_())]
-                yield pa.record_batch(rows, [*names, *(f.name for f in _OUT)])
-            else:
-                flat = [[v for pair in sorted(set(s)) for v in pair] for s in spans]
-                yield pa.record_batch([*rows, pa.array(flat, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], [*names, _SPANS, _ITEMS])
-
-    return df.mapInArrow(match, T.StructType([*keep, *(_OUT.fields if last else hits)]))
+            n = [np.zeros(0, np.int64), *(np.diff(w.first) for w in _grid.words(*_grid.buffers(batch.column(column)), table))]
+            yield pa.record_batch([*batch.columns, pa.array(np.concatenate(n), pa.int64())], [*names, "n_words"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType())]))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, shingle: int = SHINGLE,
+                  threshold: tuple[int, int] = (1, 20)) -> DataFrame:
+    """Adds n_words, n_hit, n_items, items, items_sha256 and contaminated to every row of docs.
+
+    Item ids may be of any type and keep it. A row is a document of its own, whatever its id: repeated rows get equal
+    results, null ids and other columns pass through as they are, and a column of docs named like one that is added is
+    replaced. A null text, an empty one and one without words have 0 words and are not contaminated. Items that are
+    null, empty or without words hit nothing; an item with a null id hits words but has no part in items or n_items;
+    rows with the same item_id are one item. An empty benchmark contaminates nothing.
+    threshold is an exact fraction (p, q): contaminated is n_hit > 0 and q * n_hit >= p * n_words.
+    """
+    p, q = threshold
+    names = [c for c in docs.columns if c not in ADDED]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names])
+    found = hits(rows, benchmark, doc_id=doc_id, text=text, window=window, shingle=shingle)
+    found = found.select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash"), F.col("n_hit").alias("_n_hit"), F.col("items").alias("_hit_items"))
+    sized = _with_sizes(rows, text)
+    same = (F.xxhash64(sized[text]) == F.col("_hit_hash")) & sized[doc_id].eqNullSafe(F.col("_hit_id"))
+    n_hit = F.coalesce("_n_hit", F.lit(0).cast("long"))
+    items = F.coalesce("_hit_items", F.array().cast(found.schema["_hit_items"].dataType))
+    listed = F.array_join(F.transform(items, lambda x: x.cast("string")), ",")
+    return sized.join(found, same, "left").select(
+        *[F.col(f"`{c}`") for c in names], "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"),
+        F.sha2(listed, 256).alias("items_sha256"), ((n_hit > 0) & (q * n_hit >= p * F.col("n_words"))).alias("contaminated"))

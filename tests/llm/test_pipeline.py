@@ -28,6 +28,7 @@ def folder(spark, tmp_path_factory):
         docs.append((i, t, "en", f"src{i % 4}" if i % 11 else None, len(t)))
         labels.append((i, 1, int(i % 5 == 0)))
     docs += [(200 + i, docs[i][1].upper(), "de", "src1", 7) for i in (3, 4, 6)] + [(3, docs[3][1], "en", "src3", docs[3][4]), (300, None, None, None, None), (301, "", None, "src2", 0)]
+    docs += [(400, f"{text(1500)} {' '.join(items[2][1].split()[4:17])} {text(1500)}", "en", "src2", 1)]
     base = tmp_path_factory.mktemp("tables")
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{base}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
@@ -57,7 +58,8 @@ def test_run_equals_brute_force(spark, folder):
         own[(i, f)] = c
     chosen = {c for c in own.values()}
     one = {x[0]: x for x in kept if x[0] in chosen}
-    clean = [x for x in one.values() if not (lambda w: w[1] > 0 and 20 * w[1] >= w[0])(windows([(x[0], x[1])], items)[0])]
+    clean = [x for x in one.values() if not windows([(x[0], x[1])], items)[0][1]]
+    assert 400 in one and 400 not in {x[0] for x in clean}  # thirteen words of an item in a text of three thousand
     final = {x[0]: redacted(x[1]) if x[1] is not None else None for x in clean}
     got = cp.run(spark, base).collect()
     assert {x["doc_id"] for x in got} <= set(final) and len({x["doc_id"] for x in got}) == len(got)
@@ -78,3 +80,17 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, folder):
     for name, stage in cp.STAGES:
         out = stage(spark, docs, base)
         assert out.count() == 0 and (name == "mixing" or out.columns == docs.columns)
+
+
+def test_columns_named_like_added_ones_keep_their_values(spark, folder):
+    base, docs, _ = folder
+    own = {"n_words": -5, "n_hit": -6, "n_items": -7, "items": -8, "score": -9, "predicted": -10, "sentences": -11, "size": -12, "target": -13, "taken": -14, "_hash": -15, "contaminated": -16}
+    table = spark.read.parquet(f"{base}/documents.parquet").selectExpr("*", *[f"{v} AS {k}" for k, v in own.items()])
+    for name, stage in cp.STAGES:
+        out = stage(spark, table, base)
+        rows = out.collect()
+        assert rows and all(x[k] == v for x in rows for k, v in own.items())
+        if name == "mixing":
+            assert {"mix_size", "source_size", "mix_target", "mix_taken"} <= set(out.columns) and all(x["mix_taken"] > 0 for x in rows)
+        else:
+            assert out.columns == table.columns
