@@ -215,8 +215,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
     found = hits(rows, benchmark, doc_id=doc_id, text=text, window=window, shingle=shingle)
     found = found.select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash"), F.col("n_hit").alias("_n_hit"), F.col("items").alias("_hit_items"))
-    sized = _with_sizes(rows, text)
-    same = (F.xxhash64(sized[text]) == F.col("_hit_hash")) & sized[doc_id].eqNullSafe(F.col("_hit_id"))
+    # The hash apart: where the caller drops the text, it is not shuffled for this join.
+    sized = _with_sizes(rows, text).withColumn("_hit_own", F.xxhash64(text))
+    same = (F.col("_hit_own") == F.col("_hit_hash")) & sized[doc_id].eqNullSafe(F.col("_hit_id"))
     n_hit = F.coalesce("_n_hit", F.lit(0).cast("long"))
     items = F.coalesce("_hit_items", F.array().cast(found.schema["_hit_items"].dataType))
     listed = F.array_join(F.transform(items, lambda x: x.cast("string")), ",")
