@@ -1,14 +1,17 @@
 """Personal data: fixed patterns, widened by bootstrapped contextual extraction. DataFrame functions only.
 
-Base matches (e-mail and IP addresses, card and phone numbers) are the seeds. The words left and right of them induce
-lexical patterns. Identifier-like strings that no base pattern takes are candidates; candidates and seeds form a graph
-with the patterns around them. In each round a pattern's confidence in a kind is the score of its instances over all
-that stands in its slot anywhere in the corpus (so a frequent word proves nothing), and a candidate's score is the
-noisy-or of the confident patterns around it. Candidates that end at MIN_SCORE or more become spans of that kind.
+Base matches (e-mail and IP addresses, card and phone numbers) are the seeds. The last one to PHRASE words before them
+and the first ones behind them induce lexical patterns. Identifier-like strings that no base pattern takes are
+candidates; candidates and seeds form a graph with the patterns around them. In each round a pattern's confidence in a
+kind is the score of its instances over all places where its phrase stands in the corpus (so a frequent word proves
+nothing, while a phrase that ends in one may), and a candidate's score is the noisy-or of the best pattern before and
+the best one behind it (shorter and longer phrases of a side say the same, so they don't add up). Candidates that end at
+MIN_SCORE or more become spans of that kind.
 
 Positions come from splitting a text at the matches of a pattern: lengths of pieces and matches add up to offsets in
-code points. Only mentions, a few bytes each, are shuffled, after counting them by (pattern, instance), so that a
-string in a third of all documents is one row for each task.
+code points. Phrases are lower-cased whole words, of any length, and go by their hashes. Mentions are counted by
+(pattern, instance) before they are shuffled, so that a string in a third of all documents is one row for each task.
+Phrases of the corpus are counted only where a filter of BITS bits, whatever the number of patterns, lets them pass.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolode.llm._session import checkpoint
+from chronolode.llm._session import checkpoint, hot_join
 
 # The base patterns, as they are matched leftmost and without overlap. The lookbehinds and possessive
 # quantifiers leave the matches as they are and keep long runs from being scanned again from each of their characters.
@@ -32,8 +35,10 @@ MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.6
 MIN_SCORE = 0.8
 ROUNDS = 3
+PHRASE = 3
+BITS = 1 << 18
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-_SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,item:string,l:string,r:string>>"
+_SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,item:string,l:array<bigint>,r:array<bigint>>>"
 
 
 def _digits(s: Column) -> Column:
@@ -60,6 +65,17 @@ def _valid(kind: str, s: Column) -> Column:
     }[kind]
 
 
+#: The first words of a text, by possessive steps, so that nothing is read twice.
+_AHEAD = rf"^\s*+(\S++(?:\s++\S++){{0,{PHRASE - 1}}}+)"
+
+
+def _phrases(words: Column, before: bool) -> Column:
+    """Hashes of the last (before) or first one to PHRASE of the given words."""
+    w = F.filter(F.split(F.lower(words), r"\s+"), lambda x: x != "")
+    each = [F.when(F.size(w) >= k, F.xxhash64(F.concat_ws(" ", F.slice(w, -k if before else 1, k)))) for k in range(1, PHRASE + 1)]
+    return F.array_compact(F.array(*each))
+
+
 def _spans(pieces: Column, matches: Column, kind: str, rank: int) -> Column:
     """Valid matches with their offsets and the words around them."""
     each = F.transform(F.when(F.size(matches) > 0, F.sequence(F.lit(0), F.size(matches) - 1)).otherwise(F.array().cast("array<int>")),
@@ -68,8 +84,7 @@ def _spans(pieces: Column, matches: Column, kind: str, rank: int) -> Column:
     def add(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["p"])
         end = start + F.length(x["m"])
-        left = F.lower(F.regexp_extract(F.right(x["p"], F.lit(80)), r"(\S{1,40})\s{0,3}$", 1))
-        right = F.lower(F.regexp_extract(F.left(x["q"], F.lit(80)), r"^\s{0,3}(\S{1,40})", 1))
+        left, right = _phrases(F.reverse(F.regexp_extract(F.reverse(x["p"]), _AHEAD, 1)), True), _phrases(F.regexp_extract(x["q"], _AHEAD, 1), False)
         one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("item"), left.alias("l"), right.alias("r")))
         return F.struct(end.alias("pos"), F.when(_valid(kind, x["m"]), F.concat(acc["spans"], one.cast(_SPAN))).otherwise(acc["spans"]).alias("spans"))
 
@@ -96,35 +111,57 @@ def annotate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     return rows.withColumn("cand", apart)
 
 
-def _token_counts(docs: DataFrame, text: str) -> DataFrame:
-    tokens = docs.select(F.explode(F.split(F.lower(F.col(text)), r"\s+")).alias("token")).filter((F.length("token") > 0) & (F.length("token") <= 40))
-    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("total"))
+def _totals(docs: DataFrame, text: str, slots: DataFrame) -> DataFrame:
+    """(phrase, total): how often the phrases of slots, and some others, stand in the texts."""
+    place = F.col("phrase").bitwiseAND(BITS - 1)
+    words = slots.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int")).alias("b"))
+    set_ = {r["w"]: r["b"] for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect()}  # at most BITS / 64 rows
+    bits = F.lit([int(set_.get(i, 0)) for i in range(BITS // 64)]).cast("array<bigint>")
+
+    def passes(h: Column) -> Column:
+        at = h.bitwiseAND(BITS - 1)
+        return F.call_function("shiftright", F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+    # Apart, so that the split is made once a row.
+    rows = docs.select(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda x: x != "").alias("w")).filter(F.size("w") > 0)
+    each = []
+    for k in range(1, PHRASE + 1):
+        starts = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
+        each.append(F.filter(F.transform(starts, lambda i, k=k: F.xxhash64(F.concat_ws(" ", F.slice("w", i, k)))), passes))
+    return rows.select(F.explode(F.concat(*each)).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("total"))
 
 
-def discover(found: DataFrame, tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(item, class, kind): candidate strings that the patterns around them mark, each with its likeliest kind."""
+def discover(found: DataFrame, docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """(item, class, kind): candidate strings of found (see annotate) that the patterns around them mark, each with
+    its likeliest kind; of equal scores the last kind by name."""
     def mentions(column: str) -> DataFrame:
         return found.select(F.explode(column).alias("x")).select(F.col("x.item").alias("item"), F.col("x.kind").alias("class"), "x.l", "x.r")
 
     raw = mentions("base").unionByName(mentions("cand"))
-    sides = F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("l").alias("token")), F.struct(F.lit("R").alias("side"), F.col("r").alias("token"))))
-    edges = raw.select("item", "class", sides.alias("s")).select("item", "class", "s.side", "s.token").filter("token <> ''")
-    edges = edges.groupBy("side", "token", "item", "class").agg(F.count(F.lit(1)).alias("n"))
-    slots = edges.select("token").distinct().join(tokens, "token")
-    edges = checkpoint(edges.join(slots, "token", "left").withColumn("total", F.greatest(F.coalesce("total", F.lit(0)), "n")))
+    sides = F.explode(F.concat(*[F.transform(side, lambda h, side=side: F.struct(F.lit(side).alias("side"), h.alias("phrase"))) for side in ("l", "r")]))
+    edges = raw.select("item", "class", sides.alias("s")).groupBy("s.side", "s.phrase", "item", "class").agg(F.count(F.lit(1)).alias("n"))
+    edges = checkpoint(edges)
+    # Fewer instances than a pattern needs can't become one.
+    slots = checkpoint(edges.groupBy("side", "phrase").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("seen")).filter(F.col("rows") >= MIN_SUPPORT))
+    totals = _totals(docs, text, slots)
+    slots = slots.join(totals, "phrase", "left").select("side", "phrase", "rows", F.greatest(F.coalesce("total", F.lit(0)), "seen").alias("total"))
+    slots = checkpoint(slots)
+    edges = checkpoint(hot_join(edges, slots, ["side", "phrase"], "rows"))
     seed = edges.filter(F.col("class").isin(*KINDS))
-    rest = edges.filter(F.col("class").isin("number", "mailish"))
-    scores = seed.select("item", "class", F.col("class").alias("kind"), F.lit(1.0).alias("score")).distinct()
+    rest = edges.filter(F.col("class").isin("number", "mailish")).drop("rows", "total")
+    seeds = seed.select("item", "class", F.col("class").alias("kind"), F.lit(1.0).alias("score")).distinct()
+    scores = seeds
     for _ in range(rounds):
         hits = edges.join(scores, ["item", "class"])
-        patterns = hits.groupBy("side", "token", "kind").agg(
-            F.sum(F.col("score") * F.col("n")).alias("mass"), F.max("total").alias("total"), F.sum(F.when(F.col("score") >= 0.5, 1).otherwise(0)).alias("support"), F.sum("n").alias("seen"))
-        patterns = patterns.withColumn("confidence", F.col("mass") / F.greatest("total", "seen"))
-        patterns = patterns.filter((F.col("support") >= MIN_SUPPORT) & (F.col("confidence") >= MIN_CONFIDENCE)).select("side", "token", "kind", "confidence")
+        patterns = hits.groupBy("side", "phrase", "kind").agg(
+            F.sum(F.col("score") * F.col("n")).alias("mass"), F.max("total").alias("total"), F.max("rows").alias("rows"), F.sum(F.when(F.col("score") >= 0.5, 1).otherwise(0)).alias("support"))
+        patterns = patterns.withColumn("confidence", F.col("mass") / F.col("total")).filter((F.col("support") >= MIN_SUPPORT) & (F.col("confidence") >= MIN_CONFIDENCE))
+        patterns = checkpoint(patterns.groupBy("side", "phrase").agg(F.max("rows").alias("rows"), F.collect_list(F.struct("kind", "confidence")).alias("marks")))  # at most a row a kind
+        marked = hot_join(rest, patterns, ["side", "phrase"], "rows").select("item", "class", "side", F.explode("marks").alias("m")).select("item", "class", "side", "m.kind", "m.confidence")
         fits = (F.col("kind") == "email") == (F.col("class") == "mailish")
-        found_ = rest.join(patterns, ["side", "token"]).filter(fits).groupBy("item", "class", "kind").agg(
-            (1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score"))
-        scores = checkpoint(seed.select("item", "class", F.col("class").alias("kind"), F.lit(1.0).alias("score")).distinct().unionByName(found_))
+        best = marked.filter(fits).groupBy("item", "class", "kind", "side").agg(F.max("confidence").alias("confidence"))
+        found_ = best.groupBy("item", "class", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score"))
+        scores = checkpoint(seeds.unionByName(found_))
     best = scores.filter(F.col("class").isin("number", "mailish") & (F.col("score") >= MIN_SCORE))
     return best.groupBy("item", "class").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
 
@@ -136,7 +173,7 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     through; spans of different kinds may overlap. Columns that are not named play no part.
     """
     found = checkpoint(annotate(docs, doc_id=doc_id, text=text))
-    new = discover(found, _token_counts(docs, text))
+    new = discover(found, docs, text=text)
     cand = found.filter(F.size("cand") > 0).select("doc_id", "text_hash", F.explode("cand").alias("x")).distinct()
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
     extra = (cand.join(new, (F.col("x.item") == F.col("item")) & (F.col("x.kind") == F.col("class")))

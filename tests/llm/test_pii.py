@@ -1,4 +1,6 @@
+import random
 import re
+from collections import Counter
 
 import pytest
 from chronolode.llm import pii
@@ -62,3 +64,69 @@ def test_main_path_is_native(spark):
 @pytest.mark.parametrize("text", ["x" * 200_000, "1" * 200_000, "1 " * 100_000, "a." * 100_000 + "@", "+" * 100_000])
 def test_long_runs_end(spark, text):
     assert pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 1
+
+
+NUMBER = r"(?<![A-Za-z0-9])[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}(?![A-Za-z0-9])"
+MAILISH = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:@|\x20?[\[({]at[\])}]\x20?)[A-Za-z0-9-]+(?:(?:\.|\x20?[\[({]dot[\])}]\x20?)[A-Za-z0-9-]+)*"
+
+
+def bootstrap(texts):
+    """Naive loop: {candidate: kind}."""
+    mentions, phrases = [], Counter()
+    for t in texts:
+        words = t.lower().split()
+        for k in range(1, pii.PHRASE + 1):
+            phrases.update(" ".join(words[i : i + k]) for i in range(len(words) - k + 1))
+        spans = [(m.start(), m.end(), k, m[0]) for k, p in PATTERNS.items() for m in re.finditer(p, t) if valid(k, m[0])]
+        rest = [(m.start(), m.end(), k, m[0]) for k, p in (("number", NUMBER), ("mailish", MAILISH)) for m in re.finditer(p, t) if k == "mailish" or 7 <= len(re.sub("[^0-9]", "", m[0])) <= 19]
+        for a, b, k, x in spans + [c for c in rest if not any(s[0] < c[1] and c[0] < s[1] for s in spans)]:
+            before, behind = t[:a].lower().split(), t[b:].lower().split()
+            for n in range(1, pii.PHRASE + 1):
+                mentions += [("l", " ".join(before[-n:]), x, k)] * (len(before) >= n) + [("r", " ".join(behind[:n]), x, k)] * (len(behind) >= n)
+    edges = Counter(mentions)
+    seen, rows = Counter(), Counter()
+    for (side, phrase, _, _), n in edges.items():
+        seen[side, phrase] += n
+        rows[side, phrase] += 1
+    edges = {e: n for e, n in edges.items() if rows[e[:2]] >= pii.MIN_SUPPORT}
+    seeds = {(x, k, k): 1.0 for _, _, x, k in edges if k in pii.KINDS}
+    scores = dict(seeds)
+    for _ in range(pii.ROUNDS):
+        mass, support = Counter(), Counter()
+        for (side, phrase, x, c), n in edges.items():
+            for k in pii.KINDS:
+                if (x, c, k) in scores:
+                    mass[side, phrase, k] += scores[x, c, k] * n
+                    support[side, phrase, k] += scores[x, c, k] >= 0.5
+        sure = {p: m / max(phrases[p[1]], seen[p[:2]]) for p, m in mass.items() if support[p] >= pii.MIN_SUPPORT}
+        best = {}
+        for side, phrase, x, c in edges:
+            for k in pii.KINDS:
+                v = sure.get((side, phrase, k), 0)
+                if c not in pii.KINDS and v >= pii.MIN_CONFIDENCE and (k == "email") == (c == "mailish"):
+                    best[x, c, k, side] = max(best.get((x, c, k, side), 0), min(v, 0.999))
+        scores = dict(seeds)
+        for x, c, k in {b[:3] for b in best}:
+            scores[x, c, k] = 1 - (1 - best.get((x, c, k, "l"), 0)) * (1 - best.get((x, c, k, "r"), 0))
+    out = {}
+    for (x, c, k), v in scores.items():
+        if c not in pii.KINDS and v >= pii.MIN_SCORE:
+            out[x] = max(out.get(x, (0, "")), (v, k))
+    return {x: k for x, (_, k) in out.items()}
+
+
+def test_discovery_equals_a_naive_loop(spark):
+    r = random.Random(5)
+    common = ["my", "number", "is", "at", "the", "a", "of", "reach", "me", "and", "tel:", "now", "x" * 90]
+    fill = lambda: " ".join(r.choices(common, k=r.randint(4, 14)))
+    texts = []
+    for i in range(40):
+        texts.append(f"{fill()} my number is +1 (555) 010-{1000 + i} {fill()} reach me at u{i}@h{i % 7}.org {fill()}")
+        texts.append(f"{fill()} tel: +49 30 12{10000 + i}\n{fill()} {'x' * 90}{i % 2} 12345{i:02}67")
+    texts += [f"{fill()} my  number\tis 555 77{i:02} 01 {fill()} reach me at jo{i} [at] x [dot] org" for i in range(6)] + [f"{fill()} number is the 555 88{i:02} 02" for i in range(6)]
+    texts += [f"the is at {fill()}" for _ in range(300)]
+    want = bootstrap(texts)
+    assert {"555 7703 01": "phone", "jo4 [at] x [dot] org": "email"}.items() <= want.items() and "555 8801 02" not in want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.annotate(docs)
+    assert {x["item"]: x["kind"] for x in pii.discover(found, docs).collect()} == want
