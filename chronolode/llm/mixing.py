@@ -1,10 +1,14 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Per source, documents are counted by exact length in words. Whole copies of the source fill its target as far as they
-go. What remains is fitted by a subset of documents: the same share of every length, one more of some lengths by
-largest remainder, and a bounded-knapsack program over the lengths for the last words, whose budget never exceeds
-DP_BUDGET or the longest document. Documents of a length are then chosen by seeded hash. Only counts are gathered, one
-row for each source and length; to rank documents, each length is cut into BUCKETS by hash, whole buckets are taken or
+go. What remains is fitted by a subset of documents. A budget of at most DP_BUDGET words goes to the bounded-knapsack
+program as a whole, which finds the largest sum that does not exceed it. Of a larger one the same share of every length
+is taken first; then documents are given back, of every length in turn, until DP_BUDGET words and the longest document
+are free again, and the program fits these words with all documents that are left. So every sum stays within the
+budget, and the shortfall is less than the shortest document left out.
+
+Documents of a length are then chosen by seeded hash. Only counts are gathered, one row for each source and length; to
+rank documents, hashes are cut into buckets of about BUCKET rows of the table, whole buckets of a length are taken or
 left, and only within a bucket rows are ordered, so that a length or source with a third of all rows is spread.
 """
 
@@ -19,7 +23,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SEED = 20240607
-BUCKETS = 256
+BUCKET = 1 << 15
 DP_BUDGET = 1 << 16
 _SPACE = " \t\n\x0b\f\r"
 
@@ -52,34 +56,48 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def fit(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each positive length to take so that their lengths sum to the budget, or as near below
-    it as the last step finds. count bounds them; budget is at most the sum of all."""
+    """How many documents of each distinct positive length to take, at most count of each.
+
+    Their lengths sum to the most that the budget allows if it is at most DP_BUDGET; otherwise to the budget less a
+    shortfall that is smaller than every length of which a document is left.
+    """
     total = int((length * count).sum())
     if budget <= 0 or not total:
         return np.zeros(len(length), np.int64)
     if budget >= total:
         return count.copy()
-    share = count * (budget / total)
-    take = np.minimum(np.floor(share).astype(np.int64), count)
+    take = np.zeros(len(length), np.int64)
+    if budget > DP_BUDGET:
+        # A share rounded down leaves less than one document of each length; the sum can't exceed the budget.
+        take = np.minimum(count * budget // total, count) if total < 1 << 31 else np.array([int(c) * budget // total for c in count], np.int64)
     left = budget - int((take * length).sum())
-    while left < 0:  # rounding of a share
-        i = int(np.argmax(take * length))
-        take[i] -= 1
-        left += int(length[i])
-    for i in np.lexsort((length, take - share)):
-        if left <= DP_BUDGET:
-            break
-        if take[i] < count[i] and length[i] <= left:
-            take[i] += 1
-            left -= int(length[i])
-    # Bounded knapsack: each length in pieces of 1, 2, 4, ... documents; by[s] is the first piece that reached s.
-    by = np.full(left + 1, -1, np.int64)
-    reached = np.zeros(left + 1, bool)
+    # Short of the program's reach: what the rounding left beyond it, by the longest documents that fit.
+    for i in np.argsort(-length, kind="stable"):
+        if left > DP_BUDGET:
+            more = min(int(count[i] - take[i]), (left - DP_BUDGET) // int(length[i]))
+            take[i] += more
+            left -= more * int(length[i])
+    # Give back, one of each length in turn, until the program has room to choose.
+    room = min(budget, max(DP_BUDGET, int(length.max())))
+    while left < room and take.any():
+        some = np.flatnonzero(take)
+        ahead = np.cumsum(length[some])
+        some = some[: int(np.searchsorted(ahead, room - left)) + 1]
+        take[some] -= 1
+        left += int(length[some].sum())
+    return take + _knapsack(length, count - take, left)
+
+
+def _knapsack(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
+    """Bounded subset sum: counts whose sum is the largest within the budget. Each length comes in pieces of 1, 2, 4,
+    ... documents; by[s] is the first piece that reached s."""
+    by = np.full(budget + 1, -1, np.int64)
+    reached = np.zeros(budget + 1, bool)
     reached[0] = True
     pieces = []
     for i in np.argsort(-length, kind="stable"):
-        n, k = min(int(count[i] - take[i]), left // int(length[i])), 1
-        while n > 0 and not reached[left]:
+        n, k = min(int(count[i]), budget // int(length[i])), 1
+        while n > 0 and not reached[budget]:
             k = min(k, n)
             size = k * int(length[i])
             new = np.flatnonzero(reached[:-size] & ~reached[size:]) + size
@@ -87,6 +105,7 @@ def fit(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
             reached[new] = True
             pieces.append((i, k, size))
             n, k = n - k, 2 * k
+    take = np.zeros(len(length), np.int64)
     s = int(np.flatnonzero(reached)[-1])
     while s:
         i, k, size = pieces[by[s]]
@@ -114,6 +133,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     them. Rows that repeat are documents of their own; which of rows with the same id and text is taken makes no
     difference. Ties of length go by a hash of seed, id and text, so reruns agree. Columns of docs named like one
     that is added are replaced (names that start with _mix_ are reserved); an empty table gives an empty result.
+    Targets are computed in one task from one row a source; the plan of a source from one row a length.
     """
     added = ("size", "source_size", "target", "taken")
     keep = [c for c in docs.columns if c not in added]
@@ -121,7 +141,9 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     # Own columns start with _mix_, apart from every name in docs.
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], word_count(F.col(text)).alias("_mix_size"), hashed.alias("_mix_h"),
                        F.col(source).cast("string").alias("_mix_source"), F.col(doc_id).alias("_mix_id"))
-    rows = rows.withColumn("_mix_bucket", F.shiftrightunsigned("_mix_h", 64 - (BUCKETS - 1).bit_length()).cast("int"))
+    buckets = docs.count() // BUCKET  # from the files' footers
+    bits = min(buckets, 1 << 30).bit_length()
+    rows = rows.withColumn("_mix_bucket", F.shiftrightunsigned("_mix_h", 64 - bits).cast("int") if bits else F.lit(0))
     fine = rows.groupBy(F.col("_mix_source").alias("source"), F.col("_mix_size").alias("size"), F.col("_mix_bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     by_size = fine.groupBy("source", "size").agg(F.sum("n").alias("n"))
     goals = targets(by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share)

@@ -50,15 +50,35 @@ def test_empty(spark):
     assert mx.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 300), st.integers(1, 40)), min_size=1, max_size=25, unique_by=lambda x: x[0]), st.floats(0, 1), st.integers(0, 3))
-def test_fit_is_bounded_and_near(pairs, share, dp):
+def sums(pairs):
+    out = {0}
+    for n, c in pairs:
+        out = {s + n * k for s in out for k in range(c + 1)}
+    return out
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 12)), min_size=1, max_size=8, unique_by=lambda x: x[0]), st.floats(0, 1), st.sampled_from([1, 2, 7]))
+def test_fit_equals_exhaustive_search(pairs, share, gap):
+    """Also with gaps: all lengths even, or multiples of 7."""
+    pairs = [(n * gap, c) for n, c in sorted(pairs)]
+    length, count = np.array(pairs, np.int64).T
+    budget = int(share * (length * count).sum())
+    take = mx.fit(length, count, budget)
+    assert (take >= 0).all() and (take <= count).all()
+    assert int((take * length).sum()) == max(s for s in sums(pairs) if s <= budget)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 300), st.integers(1, 40)), min_size=1, max_size=25, unique_by=lambda x: x[0]), st.floats(0, 1), st.sampled_from([0, 10, 500]), st.sampled_from([1, 2, 7]))
+def test_shortfall_beyond_the_program_is_below_every_length_left(pairs, share, dp, gap):
     length, count = np.array(sorted(pairs), np.int64).T
+    length = length * gap
     budget = int(share * (length * count).sum())
-    old, mx.DP_BUDGET = mx.DP_BUDGET, (0, 10, 500, 1 << 16)[dp]
+    old, mx.DP_BUDGET = mx.DP_BUDGET, dp
     try:
         take = mx.fit(length, count, budget)
     finally:
         mx.DP_BUDGET = old
-    got = int((take * length).sum())
-    assert (take >= 0).all() and (take <= count).all() and budget - length.max() < got <= budget
+    short, left = budget - int((take * length).sum()), length[take < count]
+    assert (take >= 0).all() and (take <= count).all() and short >= 0 and (not len(left) or short < left.min())
