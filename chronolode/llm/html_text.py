@@ -1,13 +1,18 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree; markup that never holds the article (scripts, menus, forms, adverts, comments and the like, by
-element and by the words of class, id and role) is cut off. Of every remaining node the composite density is computed,
-its characters for each tag, lowered by the share of link characters and link tags against the rest of the page. The
-node whose children's densities have the largest sum is the article's subtree; the smallest density on its path to
-body is the threshold for further subtrees beside it. Where no article or main element encloses it, the article is all
-that stands beside it, less what is mostly links, up to the common ancestor with the subtrees over the threshold.
-
-Each page is read on its own, in one pass over its characters; no state is shared between rows.
+A page becomes a tree; elements that never hold the article (scripts, menus, forms and the like), and those whose class
+or id names nothing but an advert, a comment or a part of the page's frame, are cut off. Of every remaining node the
+composite density is computed, its characters for each tag, lowered by the share of link characters and link tags
+against the rest of the page. The node whose children's densities have the largest sum is the article's subtree; the
+smallest density on its path to body is the threshold for further subtrees beside it. An article or main element around
+it is taken whole if its density is of the same order; otherwise the article is all that stands beside it, less what is
+mostly links, up to the common ancestor with the subtrees over the threshold.
+
+Names that may as well be a section's subject (`privacy`, `discussion`, `related`) decide nothing within the chosen
+subtree unless the density there is low too.
+
+Each page is read on its own, in one pass over its characters, with work in proportion to its length however deep or
+broken its markup is; no state is shared between rows.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Densities within this factor are of the same order.
+FRAME = 4
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*+)>")
 _SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
@@ -37,15 +44,81 @@ _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _SCOPES = frozenset("ul ol dl table select menu".split())
 _CUT = frozenset("script style textarea title noscript iframe nav footer aside form button select option svg math template object canvas audio video head menu dialog search fieldset legend input noembed noframes".split())
 _CUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-# Words of class and id of what is not the article.
+# Words of class and id of what is not the article, and those that say so only of sparse text.
 _CUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright "
-    "disclaimer disqus discussion donate footer footnav form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination "
-    "popup privacy promo promoted promotion promotions recommend recommended related replies reply respond responses rss search share sharing sidebar signup skip skyscraper social "
-    "sponsor sponsored subscribe subscription taboola teaser toolbar topbar widget widgets".split())
+    "ad ads adv advert adverts advertisement advertising adsense breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus "
+    "footer footnav gdpr login masthead menu modal nav navbar navigation newsletter outbrain pager pagination popup promo promoted promotion promotions "
+    "sidebar signup skip skyscraper sponsor sponsored subscribe subscription taboola toolbar topbar".split())
+_DOUBTFUL = frozenset(
+    "disclaimer discussion donate legal notice notices notification overlay privacy recommend recommended related replies reply respond responses rss search "
+    "share sharing social teaser thread threads widget widgets".split())
 _OF_ARTICLE = frozenset("header banner byline".split())
-_COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
+_COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
 _ARTICLE_WORDS = frozenset("article entry post story content".split())
+# Words that leave the meaning of a name as it is; a name with any other word (share-price) is a subject of its own.
+_NEUTRAL = _ARTICLE_WORDS | frozenset(
+    "all also and area articles bar block body bottom box btn button buttons c card cards col column component container count cta desktop div element entries "
+    "fixed floating for global google gpt grid group head heading hidden icon icons id image img in inline inner is item items js label large latest layer left "
+    "link links list lists logo m main mini mobile module more most new o of on outer page pages panel policy popular posts primary reader readers region right "
+    "root row secondary section set site slot small sticky stories tab tabs text the this title toggle top trending u unit us user users view with wp wrap "
+    "wrapper x zone".split())
+
+
+_KNOWN = _CUT_WORDS | _DOUBTFUL | _OF_ARTICLE | _NEUTRAL
+
+
+class _Open:
+    """Open elements. What an end tag or an implied end looks for is counted apart, so that it is found, or known to be
+    absent, without a walk; an element is popped once."""
+
+    def __init__(self):
+        self.stack, self.tags = [0], ["#root"]
+        self.places: dict[str, list[int]] = {}  # of open blocks by name
+        self.blocks: list[tuple[int, dict[str, list[int]]]] = [(0, {})]  # each with the inline elements open in it
+        self.scopes: list[tuple[int, dict[str, list[int]]]] = [(0, {})]  # each with the items open in it
+
+    def push(self, node: int, tag: str) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.tags.append(tag)
+        if tag in _INLINE:
+            self.blocks[-1][1].setdefault(tag, []).append(at)
+            return
+        self.places.setdefault(tag, []).append(at)
+        self.blocks.append((at, {}))
+        if tag in _SIBLINGS:
+            self.scopes[-1][1].setdefault(tag, []).append(at)
+        elif tag in _SCOPES:
+            self.scopes.append((at, {}))
+
+    def _cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.stack.pop()
+            tag = self.tags.pop()
+            if tag in _INLINE:
+                self.blocks[-1][1][tag].pop()
+                continue
+            self.places[tag].pop()
+            self.blocks.pop()
+            if tag in _SIBLINGS:
+                self.scopes[-1][1][tag].pop()
+            elif tag in _SCOPES:
+                self.scopes.pop()
+
+    def close(self, name: str) -> None:
+        """An end tag; that of an inline element ends nothing beyond its block."""
+        if found := self.blocks[-1][1].get(name) if name in _INLINE else self.places.get(name):
+            self._cut(found[-1])
+
+    def imply(self, name: str) -> None:
+        """Ends that HTML leaves out: of a paragraph before a block, of an item before its next one."""
+        if name in _ENDS_P:
+            if self.tags[self.blocks[-1][0]] == "p":
+                self._cut(self.blocks[-1][0])
+        elif name in _SIBLINGS:
+            items = self.scopes[-1][1]
+            if found := [items[x][0] for x in _SIBLINGS[name] if items.get(x)]:
+                self._cut(min(found))
 
 
 class _Page:
@@ -57,14 +130,14 @@ class _Page:
         self._read(html)
 
     def _read(self, html: str) -> None:
-        stack, pos, n = [0], 0, len(html)
+        open_, pos, n, last = _Open(), 0, len(html), html.rfind(">")
         pieces = self.pieces
         while pos < n:
             at = html.find("<", pos)
-            if at < 0:
-                at = n
+            if at < 0 or at > last and not html.startswith("<!--", at):
+                at = n  # no tag ends behind this point
             if at > pos:
-                pieces.append((stack[-1], html[pos:at]))
+                pieces.append((open_.stack[-1], html[pos:at]))
             if at == n:
                 break
             m = _TAG.match(html, at)
@@ -73,7 +146,7 @@ class _Page:
                 if m:
                     pos = m.end()
                 else:
-                    pieces.append((stack[-1], "<"))
+                    pieces.append((open_.stack[-1], "<"))
                     pos = at + 1
                 continue
             pos = m.end()
@@ -82,12 +155,12 @@ class _Page:
             if name not in _INLINE:
                 pieces.append(None)
             if close:
-                self._close(stack, name)
+                open_.close(name)
                 continue
-            self._implied(stack, name)
+            open_.imply(name)
             node = len(self.tag)
             self.tag.append(name)
-            self.parent.append(stack[-1])
+            self.parent.append(open_.stack[-1])
             self._attributes(attrs)
             if name in _RAW:
                 end = re.compile(rf"</{name}", re.I).search(html, pos)
@@ -97,34 +170,7 @@ class _Page:
                 gt = html.find(">", stop)
                 pos = n if gt < 0 or not end else gt + 1
             elif name not in _VOID and not (attrs.endswith("/") and name in ("svg", "path")):
-                stack.append(node)
-
-    def _close(self, stack: list[int], name: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[i]]
-            if tag == name:
-                del stack[i:]
-                return
-            if name in _INLINE and tag not in _INLINE:
-                return  # an inline end tag ends nothing beyond its block
-
-    def _implied(self, stack: list[int], name: str) -> None:
-        """Ends that HTML leaves out: of a paragraph before a block, of an item before its next one."""
-        if name in _ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                tag = self.tag[stack[i]]
-                if tag == "p":
-                    del stack[i:]
-                    break
-                if tag not in _INLINE:
-                    break
-        elif name in _SIBLINGS:
-            for i in range(len(stack) - 1, 0, -1):
-                tag = self.tag[stack[i]]
-                if tag in _SIBLINGS[name]:
-                    del stack[i:]
-                elif tag in _SCOPES:
-                    break
+                open_.push(node, name)
 
     def _attributes(self, attrs: str) -> None:
         words, role, hidden = frozenset(), "", False
@@ -132,7 +178,8 @@ class _Page:
             found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
             named = " ".join(found[k] for k in ("class", "id") if found.get(k))
             if named:
-                words = frozenset(_PARTS.findall(_CAMEL.sub(" ", named).lower()))
+                names = (frozenset(_PARTS.findall(_CAMEL.sub(" ", x).lower())) for x in named.split())
+                words = frozenset().union(*(x for x in names if x <= _KNOWN))
             role = (found.get("role") or "").lower()
             style = (found.get("style") or "").replace(" ", "").lower()
             hidden = "hidden" in found or "display:none" in style or (found.get("aria-hidden") or "").lower() == "true"
@@ -140,8 +187,8 @@ class _Page:
         self.role.append(role)
         self.hidden.append(hidden)
 
-    def cut(self) -> list[bool]:
-        """Nodes that are not part of the article by what they are, with all below them."""
+    def cut(self) -> tuple[list[bool], list[bool]]:
+        """Nodes that are not part of the article by what they are, with all below them; and nodes of doubtful name."""
         n = len(self.tag)
         holds = [t in ("h1", "main", "body") for t in self.tag]
         chars = [0] * n
@@ -154,7 +201,7 @@ class _Page:
             chars[self.parent[i]] += chars[i] if self.tag[i] not in _CUT else 0
             frames[self.parent[i]] |= frames[i]
         inside = [False] * n  # an article or main
-        out = [False] * n
+        out, doubt = [False] * n, [False] * n
         for i in range(1, n):
             p, tag, words = self.parent[i], self.tag[i], self.words[i]
             inside[i] = inside[p] or tag in ("article", "main")
@@ -170,13 +217,15 @@ class _Page:
                 out[i] = not inside[p] and not frames[i]
             elif self.role[i] in _CUT_ROLES:
                 out[i] = not holds[i] or self.role[i] == "banner" and not frames[i]
-            elif words and (bad := words & _CUT_WORDS):
+            elif words and (bad := words & (_CUT_WORDS | _OF_ARTICLE)):
                 if bad <= _OF_ARTICLE and (inside[p] or words & _ARTICLE_WORDS):
                     continue
                 # A frame named for what it also holds: most of the page's text is not a sidebar.
                 frame = not bad & _COMMENT_WORDS and 5 * chars[i] >= 4 * chars[0] and not words & {"header", "footer"}
                 out[i] = not (holds[i] or frame) or "header" in bad and not inside[i] and not frames[i]
-        return out
+            elif words & _DOUBTFUL:
+                doubt[i] = not holds[i] and 2 * chars[i] < chars[0]
+        return out, doubt
 
 
 def _densities(page: _Page, out: list[bool], size: list[int]) -> tuple[list[float], list[int], list[int]]:
@@ -206,6 +255,25 @@ def _densities(page: _Page, out: list[bool], size: list[int]) -> tuple[list[floa
     return density, chars, link_chars
 
 
+def _article(page: _Page, out: list[bool], doubt: list[bool], size: list[int]) -> list[bool]:
+    """Nodes of the article. What has a doubtful name has no part in the choice of the subtree; within it, it stays if
+    its density is of the order of the subtree's."""
+    n = len(page.tag)
+    if not any(doubt):
+        return _select(page, out, size)
+    less = out[:]
+    for i in range(1, n):
+        less[i] = out[i] or doubt[i] or less[page.parent[i]]
+    chosen = _select(page, less, size)
+    alone, _, _ = _densities(page, less, size)
+    least = min((alone[i] for i in range(n) if chosen[i] and not chosen[page.parent[i]]), default=0.0) / FRAME
+    density, chars, link_chars = _densities(page, out, size)
+    for i in range(1, n):
+        if not chosen[i] and less[i] and not out[i] and chosen[page.parent[i]]:
+            chosen[i] = not doubt[i] or density[i] >= least and 2 * link_chars[i] < chars[i]
+    return chosen
+
+
 def _select(page: _Page, out: list[bool], size: list[int]) -> list[bool]:
     """Nodes of the article."""
     n = len(page.tag)
@@ -230,6 +298,11 @@ def _select(page: _Page, out: list[bool], size: list[int]) -> list[bool]:
     while i != body:
         i = page.parent[i]
         threshold = min(threshold, density[i])
+    path = {best}
+    i = best
+    while i != body:
+        i = page.parent[i]
+        path.add(i)
     # The best subtree below each node, for the nodes beside the path.
     top = [i if below[i] else -1 for i in range(n)]
     for i in range(n - 1, body, -1):
@@ -240,24 +313,20 @@ def _select(page: _Page, out: list[bool], size: list[int]) -> list[bool]:
     for i in range(n - 1, 0, -1):
         h1[page.parent[i]] |= h1[i] and not out[i]
 
-    def frame(i: int) -> int:
-        """The element that stands for the whole article around a node."""
-        at, j = i, i
-        while j != body:
-            if page.tag[j] in ("article", "main"):
-                at = j
-            elif at == i and h1[j] and not h1[i] and 2 * chars[i] >= chars[j]:
-                at = j
-            j = page.parent[j]
-        return at
-
-    main = frame(best)
+    # The element that stands for the whole article around the best one, as far as it is about as dense.
+    main, j = best, best
+    while j != body:
+        if page.tag[j] in ("article", "main") and FRAME * density[j] >= density[best]:
+            main = j
+        elif main == best and h1[j] and not h1[best] and 2 * chars[best] >= chars[j]:
+            main = j
+        j = page.parent[j]
     if page.tag[main] not in ("article", "main"):
-        return _around(page, below, chars, link_chars, size, body, main, [i for i in inner if density[i] >= threshold and _beside(page, i, body, main)])
+        return _around(page, below, chars, link_chars, size, body, main, [i for i in inner if density[i] >= threshold and i not in path])
     chosen[main] = True
     for i in inner:
         p = page.parent[i]
-        if i == body or chosen[i] or chosen[p] or not _beside(page, i, body, best):
+        if i == body or chosen[i] or chosen[p] or i in path:
             chosen[i] = chosen[i] or chosen[p] and i != body
         elif density[i] >= threshold and page.tag[p] == page.tag[page.parent[best]] and page.tag[i] == page.tag[best]:
             chosen[top[i]] = True
@@ -273,12 +342,12 @@ def _around(page: _Page, below: list[bool], chars: list[int], link_chars: list[i
         path.append(page.parent[path[-1]])
     level = {j: k for k, j in enumerate(path)}
     top = min(1, len(path) - 1)
+    meets = [0] * len(page.tag)  # where a node's way up meets the path
+    for i in range(body, len(page.tag)):
+        meets[i] = level[i] if i in level else meets[page.parent[i]]
     for i in dense:
-        if 2 * link_chars[i] >= chars[i]:
-            continue
-        while i not in level:
-            i = page.parent[i]
-        top = max(top, level[i])
+        if 2 * link_chars[i] < chars[i]:
+            top = max(top, meets[i])
     chosen = [False] * len(page.tag)
     chosen[main] = True
     for i in range(body + 1, len(page.tag)):
@@ -293,20 +362,12 @@ def _around(page: _Page, below: list[bool], chars: list[int], link_chars: list[i
     return chosen
 
 
-def _beside(page: _Page, i: int, body: int, best: int) -> bool:
-    """Whether a node lies off the path from the best one to body."""
-    j = best
-    while j > i:
-        j = page.parent[j]
-    return j != i
-
-
 def extract(html: str | None) -> str:
     """The main text of a page; empty where it has none. Null counts as empty; broken markup is read as far as it goes."""
     if not html:
         return ""
     page = _Page(html)
-    out = page.cut()
+    out, doubt = page.cut()
     size, blocks, block = [0] * len(page.tag), [], []
     for piece in page.pieces:
         if piece is None:
@@ -318,7 +379,7 @@ def extract(html: str | None) -> str:
             block.append((piece[0], text))
             size[piece[0]] += len(text) - text.count(" ") if text.strip() else 0
     blocks.append(block)
-    chosen = _select(page, out, size)
+    chosen = _article(page, out, doubt, size)
     body_text = ("".join([t for node, t in b if chosen[node]]) for b in blocks)
     return " ".join(s for s in (" ".join(t.split()) for t in body_text) if s)
 
