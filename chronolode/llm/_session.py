@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolode.ship import ship
 
-__all__ = ["checkpoint", "connected_components", "ensure_checkpoint_dir", "hot_join", "ship"]
+__all__ = ["checkpoint", "connected_components", "ensure_checkpoint_dir", "hot_join", "shared_path", "ship"]
 
 #: A key with one row in HOT of all rows, or more, is hot; so there are at most HOT such keys.
 HOT = 1024
@@ -27,6 +28,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="chronolode-ckpt-"))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint: the rows survive the loss of executors and the lineage ends here."""
     ensure_checkpoint_dir(df.sparkSession)

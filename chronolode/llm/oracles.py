@@ -58,21 +58,28 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+_URN = "'<urn:uuid:'||" + "||'-'||".join(f"substr(m, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + "||'>'"
+
+
 def _record(html: str) -> str:
-    rid = "md5(concat_ws(chr(10), page_id::VARCHAR, url))"
-    uuid = "||'-'||".join(f"substr({rid}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
     crlf = "chr(13)||chr(10)"
-    return (f"'WARC/1.1'||{crlf}||'WARC-Type: resource'||{crlf}||'WARC-Date: 1970-01-01T00:00:00Z'||{crlf}||'WARC-Record-ID: <urn:uuid:'||{uuid}||'>'||{crlf}||'WARC-Target-URI: '||url||{crlf}"
+    return (f"'WARC/1.1'||{crlf}||'WARC-Type: resource'||{crlf}||'WARC-Date: 1970-01-01T00:00:00Z'||{crlf}||'WARC-Record-ID: '||{_URN}||{crlf}||'WARC-Target-URI: '||url||{crlf}"
             f"||'Content-Type: text/html'||{crlf}||'Content-Length: '||strlen({html})::VARCHAR||{crlf}||{crlf}||{html}||{crlf}||{crlf}")
 
 
+_AT = "coalesce(sum(length{0}) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT"
+
 OP6 = f"""
-WITH d AS (SELECT page_id, url, html, CASE WHEN page_id % 97 = 13 THEN (CASE WHEN html[1:1] = '#' THEN '%' ELSE '#' END) || html[2:] ELSE html END AS other FROM pages),
-r AS (SELECT page_id, (page_id // 1024)::BIGINT AS archive, url, {_record('html')} AS rec, {_record('other')} AS rep FROM d),
-m AS (SELECT archive, coalesce(sum(strlen(rec)) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
-             strlen(rec)::BIGINT AS length, page_id, sha256(rec) AS sha_primary, CASE WHEN page_id % 389 = 7 THEN NULL ELSE sha256(rep) END AS sha_replica FROM r)
-SELECT archive, start, length, page_id, CASE WHEN sha_replica IS NULL THEN 'missing' ELSE 'altered' END AS status, sha_primary, sha_replica
-FROM m WHERE sha_replica IS NULL OR sha_primary <> sha_replica
+WITH n AS (SELECT greatest(1, ceil(count(*) / 1024.0))::BIGINT AS n FROM pages),
+d AS (SELECT page_id, url, html, md5(concat_ws(chr(10), page_id::VARCHAR, url)) AS m, page_id % 389 = 7 AS lost,
+             CASE page_id % 97 WHEN 13 THEN (CASE WHEN html[1:1] = '#' THEN '%' ELSE '#' END) || html[2:] WHEN 14 THEN html || '<p>grown' WHEN 15 THEN substr(html, 4) ELSE html END AS other FROM pages),
+r AS (SELECT page_id, ('0x' || substr(m, 1, 15))::BIGINT % n AS archive, {_URN} AS record_id, lost, {_record('html')} AS rec, {_record('other')} AS rep FROM d, n),
+l AS (SELECT page_id, archive, record_id, strlen(rec)::BIGINT AS length, sha256(rec) AS sha_primary,
+             CASE WHEN NOT lost THEN strlen(rep)::BIGINT END AS length_replica, CASE WHEN NOT lost THEN sha256(rep) END AS sha_replica FROM r),
+p AS (SELECT *, {_AT.format('')} AS start, CASE WHEN sha_replica IS NOT NULL THEN {_AT.format('_replica')} END AS start_replica FROM l)
+SELECT archive, record_id, CASE WHEN sha_replica IS NULL THEN 'missing' ELSE 'altered' END AS status, start, length, sha_primary,
+       coalesce(start_replica, -1) AS start_replica, coalesce(length_replica, -1) AS length_replica, sha_replica
+FROM p WHERE sha_replica IS NULL OR sha_primary <> sha_replica
 """
 
 ORACLES: dict[str, str] = {

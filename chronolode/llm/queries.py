@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolode.llm import chat_tree, decontaminate, embed_dedup, html_text, langid, mixing, pii, simhash, toxicity, warc
-from chronolode.llm._session import ship
+from chronolode.llm._session import shared_path, ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,13 +45,21 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archive of all pages against a replica in which some records have a changed byte and others are lost."""
+    """The WARC bytes of all pages against those of a replica in which some records have a changed byte, some grew,
+    some shrank and some are lost, so that those behind them lie elsewhere; both are read back from what was written."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    first = F.substring(F.col("html"), 1, 1)
-    flipped = F.concat(F.when(first == "#", "%").otherwise("#"), F.expr("substring(html, 2)"))
-    damaged = pages.withColumn("html", F.when(F.col("page_id") % 97 == 13, flipped).otherwise(F.col("html")))
-    kept = warc.manifest(damaged).filter(F.coalesce(F.col("page_id") % 389 != 7, F.lit(True)))
-    return warc.audit(warc.tree(warc.manifest(pages)), warc.tree(kept))
+    html, k = F.col("html"), F.col("page_id") % 97
+    flipped = F.concat(F.when(F.substring(html, 1, 1) == "#", "%").otherwise("#"), F.expr("substring(html, 2)"))
+    other = F.when(k == 13, flipped).when(k == 14, F.concat(html, F.lit("<p>grown"))).when(k == 15, F.expr("substring(html, 4)")).otherwise(html)
+    damaged = pages.withColumn("html", other).filter(F.coalesce(F.col("page_id") % 389 != 7, F.lit(True)))
+    n = warc.archives(pages)
+    sides = []
+    for rows in (pages, damaged):
+        path = shared_path(spark, "warc")
+        warc.write(rows, path, n_archives=n)
+        sides.append(warc.stored(spark, path))
+    none = F.lit(-1).cast("long")
+    return warc.compare(*sides).withColumns({c: F.coalesce(c, none) for c in ("start", "length", "start_replica", "length_replica")})
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

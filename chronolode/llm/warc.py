@@ -3,11 +3,12 @@
 Records are hashed one by one. A node of the tree is a range of offsets of an archive: level 1 covers RANGE bytes, each
 further level FANOUT ranges of the one below, up to the whole archive; above, FANOUT archives make a node, up to one
 root. A node's hash covers its children's ids and hashes in order, so a difference anywhere shows in every node above
-it. Replicas are compared by their roots; only children of nodes that differ are read further, level by level, down to
-the records that are altered, missing or additional.
+it. Replicas are compared by their roots; only children of nodes that differ are read further, level by level. Records
+of the ranges that differ are then aligned by their ids: one that only lies elsewhere, because another one before it
+grew, shrank or was lost, is sound, and what remains is altered, missing or additional.
 
-A node has at most FANOUT children, or the records of one range, so no group grows with the input. Page bytes never
-leave the row they stand in: what is shuffled is a hash and an offset for each record.
+A node has at most FANOUT children, or the records of one range, so no group grows with the input. For trees and audit
+page bytes never leave the row they stand in: what is shuffled is a hash and an offset for each record.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import gzip
 import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,42 +28,110 @@ PER_ARCHIVE = 1024
 RANGE = 1 << 16
 FANOUT = 16
 DATE = "1970-01-01T00:00:00Z"
-_NONE = -1
+
+
+def _urn(record_id: Column) -> Column:
+    m = F.md5(record_id.cast("binary"))
+    uuid = F.concat_ws("-", *[F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))
+
+
+def _record_id(page_id: Column, url: Column) -> Column:
+    return _urn(F.concat_ws("\n", page_id.cast("string"), url))
 
 
 def record(url: Column, body: Column, record_id: Column, date: str = DATE) -> Column:
     """One WARC/1.1 resource record as binary; null url or body count as empty."""
     url, body = F.coalesce(url, F.lit("")), F.coalesce(body, F.lit("")).cast("binary")
-    m = F.md5(record_id.cast("binary"))
-    uuid = F.concat_ws("-", *[F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    head = F.concat(F.lit(f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Date: {date}\r\nWARC-Record-ID: <urn:uuid:"), uuid, F.lit(">\r\nWARC-Target-URI: "), url,
+    head = F.concat(F.lit(f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Date: {date}\r\nWARC-Record-ID: "), _urn(record_id), F.lit("\r\nWARC-Target-URI: "), url,
                     F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     return F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
 
 
-def manifest(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", per_archive: int = PER_ARCHIVE) -> DataFrame:
-    """(archive, start, length, sha, page_id): where each page's record lies, and its hash.
+def archives(pages: DataFrame, per_archive: int = PER_ARCHIVE) -> int:
+    """How many archives of about per_archive records the pages make."""
+    return max(1, -(-pages.count() // per_archive))
 
-    Archives hold per_archive consecutive ids (null ids: archive -1), records in order of id, url and body. A null
-    url or html counts as empty; rows that repeat are records of their own. Other columns play no part.
-    """
+
+def _placed(pages: DataFrame, page_id: str, url: str, html: str, n: int) -> DataFrame:
+    """(archive, _id, _url, record): the archive goes by a hash of id and url, of the html where both are null."""
     rid = F.concat_ws("\n", F.col(page_id).cast("string"), F.col(url))
-    rec = record(F.col(url), F.col(html), rid)
-    rows = pages.select(F.coalesce(F.floor(F.col(page_id) / per_archive), F.lit(_NONE)).cast("long").alias("archive"), F.col(page_id).alias("page_id"), F.col(url).alias("_url"),
-                        F.octet_length(rec).cast("long").alias("length"), F.sha2(rec, 256).alias("sha"))
-    before = Window.partitionBy("archive").orderBy("page_id", "_url", "sha").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("archive", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("start"), "length", "sha", "page_id")
+    named = F.when(F.col(page_id).isNull() & F.col(url).isNull(), F.md5(F.coalesce(F.col(html), F.lit("")).cast("binary"))).otherwise(rid)
+    archive = F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long") % n
+    return pages.select(archive.alias("archive"), F.col(page_id).alias("_id"), F.col(url).alias("_url"), record(F.col(url), F.col(html), rid).alias("record"))
+
+
+def manifest(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", n_archives: int | None = None) -> DataFrame:
+    """(archive, start, length, sha, record_id): where write() puts each page's record, and its hash.
+
+    Page ids may be of any type. Records lie in order of id (null first), url and hash. A null url or html counts as
+    empty; rows that repeat are records of their own, side by side, and one row until they are placed, so that copies
+    never make an archive's window long. Other columns play no part; an empty table gives an empty manifest.
+    """
+    rows = _placed(pages, page_id, url, html, n_archives or archives(pages))
+    rows = rows.select("archive", "_id", "_url", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("sha"), _record_id(F.col("_id"), F.col("_url")).alias("record_id"))
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("archive").orderBy("_id", "_url", "sha").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("first", F.coalesce(F.sum(F.col("length") * F.col("n")).over(before), F.lit(0)))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return rows.select("archive", (F.col("first") + F.col("copy") * F.col("length")).alias("start"), "length", "sha", "record_id")
+
+
+def write(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", n_archives: int | None = None) -> None:
+    """Pages as WARC bytes in Parquet rows (archive, start, record), records of an archive in order; see manifest()."""
+    rows = _placed(pages, page_id, url, html, n_archives or archives(pages)).withColumn("_sha", F.sha2("record", 256))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, at = None, 0
+        for batch in batches:
+            starts = []
+            for archive, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if archive != current:
+                    current, at = archive, 0
+                starts.append(at)
+                at += n
+            yield pa.record_batch([batch.column(0), pa.array(starts, pa.int64()), batch.column(2)], ["archive", "start", "record"])
 
+    rows = rows.repartition("archive").sortWithinPartitions("archive", "_id", "_url", "_sha").select("archive", F.octet_length("record").alias("n"), "record")
+    rows.mapInArrow(run, "archive long, start long, record binary").write.mode("overwrite").parquet(path)
 
-def tree(leaves: DataFrame, *, range_bytes: int = RANGE, fanout: int = FANOUT) -> list[DataFrame]:
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, start, length, sha, record_id, url) of what write() left at path, read from the records' own bytes.
+
+    Bytes that are no whole record fail with their offset.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, urls, lengths = [], [], []
+            for start, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                at, n, headers, _ = next(records(io.BytesIO(data), start))
+                if at + n != start + len(data):
+                    raise ValueError(f"record at offset {start} ends early")
+                ids.append(headers.get("warc-record-id"))
+                urls.append(headers.get("warc-target-uri"))
+                lengths.append(n)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), batch.column(3), pa.array(ids, pa.string()), pa.array(urls, pa.string())], ["archive", "start", "length", "sha", "record_id", "url"])
+
+    rows = spark.read.schema("archive long, start long, record binary").parquet(path).withColumn("sha", F.sha2("record", 256))
+    return rows.mapInArrow(run, "archive long, start long, length long, sha string, record_id string, url string")
+
+
+def extent(*manifests: DataFrame) -> tuple[int, int]:
+    """Bytes of the longest archive and the highest archive number of any of them, on which the shape of a tree depends."""
+    ends = [m.agg(F.max(F.col("start") + F.col("length")), F.max("archive")).first() for m in manifests]
+    return max(e[0] or 0 for e in ends), max(e[1] or 0 for e in ends)
+
+
+def tree(leaves: DataFrame, shape: tuple[int, int] | None = None, *, range_bytes: int = RANGE, fanout: int = FANOUT) -> list[DataFrame]:
     """Levels from the root down, each (archive, node, up_archive, up_node, sha), and last the leaves with theirs.
 
-    Levels are as many as the longest archive and the highest archive number need, so that trees of replicas with the
-    same extent have the same shape. An empty manifest has an empty root.
+    Levels are as many as shape needs, the extent of the manifest, or of all replicas that are to be compared. An empty
+    manifest has an empty root.
     """
     leaves = checkpoint(leaves)
-    extent = leaves.agg(F.max(F.col("start") + F.col("length")), F.max("archive")).first()
-    widest, archives = (extent[0] or 0), max(extent[1] or 0, 0) + 2
+    widest, highest = shape or extent(leaves)
+    archives = max(highest, 0) + 2
     levels = [leaves.withColumns({"up_archive": F.col("archive"), "up_node": F.floor(F.col("start") / range_bytes).cast("long")})]
     spans, across = -(-max(widest, 1) // range_bytes), archives
     entry = F.struct("archive", F.col("start").alias("at"), "sha")
@@ -84,69 +154,85 @@ def tree(leaves: DataFrame, *, range_bytes: int = RANGE, fanout: int = FANOUT) -
 
 
 def audit(primary: list[DataFrame], replica: list[DataFrame]) -> DataFrame:
-    """Records in which two trees differ: archive, start, length, page_id, status, sha_primary, sha_replica.
+    """Records in which two trees of the same shape differ: archive, record_id, status, and start, length and sha in
+    each of them (start, length, sha_primary; start_replica, length_replica, sha_replica; null where it has none).
 
-    status: altered, missing (only in the primary) or extra (only in the replica). Trees of different height are of
-    archives of different extent; then all branches count as differing.
+    status: altered (other bytes under the same id), missing (only in the primary) or extra (only in the replica).
+    A record that lies elsewhere but is unchanged is no row. Of records that share an id, equal ones are matched first,
+    the rest in order. Equal trees give no row.
     """
+    if len(primary) != len(replica):
+        raise ValueError("trees of different shape; build both with the extent of both")
     bad = None
-    same = len(primary) == len(replica)
-    for depth, (p, r) in enumerate(zip(primary[-len(replica):], replica[-len(primary):], strict=True)):
-        last = depth == min(len(primary), len(replica)) - 1
+    for p, r in zip(primary[:-1], replica[:-1], strict=True):
         if bad is not None:  # only children of nodes that differ
             p, r = (x.join(bad, (x["up_archive"] == bad["b_archive"]) & (x["up_node"] == bad["b_node"]), "left_semi") for x in (p, r))
-        elif not same and not last:
-            continue
-        at = "start" if last else "node"
-        more = ["length", "page_id"] if last else []
-        left = p.select("archive", at, F.col("sha").alias("sha_primary"), *[F.col(c).alias(f"p_{c}") for c in more])
-        right = r.select("archive", at, F.col("sha").alias("sha_replica"), *[F.col(c).alias(f"r_{c}") for c in more])
-        both = left.join(right, ["archive", at], "full").filter(~F.col("sha_primary").eqNullSafe(F.col("sha_replica")))
-        if not last:
-            bad = checkpoint(both.select(F.col("archive").alias("b_archive"), F.col(at).alias("b_node")))
+        left, right = (x.select("archive", "node", F.col("sha").alias(name)) for x, name in ((p, "sha_primary"), (r, "sha_replica")))
+        both = left.join(right, ["archive", "node"], "full").filter(~F.col("sha_primary").eqNullSafe(F.col("sha_replica")))
+        bad = checkpoint(both.select(F.col("archive").alias("b_archive"), F.col("node").alias("b_node")))
+
+    def found(x: DataFrame) -> DataFrame:
+        x = x.join(bad, (x["up_archive"] == bad["b_archive"]) & (x["up_node"] == bad["b_node"]), "left_semi").select("archive", "record_id", "sha", "start", "length")
+        return x.withColumn("k", F.row_number().over(Window.partitionBy("archive", "record_id", "sha").orderBy("start")))
+
+    def unmatched(x: DataFrame, other: DataFrame, side: str) -> DataFrame:
+        x = x.join(other, ["archive", "record_id", "sha", "k"], "left_anti")
+        x = x.withColumn("k", F.row_number().over(Window.partitionBy("archive", "record_id").orderBy("start")))
+        return x.select("archive", "record_id", "k", F.col("start").alias(f"start{side}"), F.col("length").alias(f"length{side}"), F.col("sha").alias("sha_replica" if side else "sha_primary"))
+
+    left, right = checkpoint(found(primary[-1])), checkpoint(found(replica[-1]))
+    both = unmatched(left, right, "").join(unmatched(right, left, "_replica"), ["archive", "record_id", "k"], "full")
     status = F.when(F.col("sha_replica").isNull(), "missing").when(F.col("sha_primary").isNull(), "extra").otherwise("altered")
-    return both.select("archive", "start", F.coalesce("p_length", "r_length").alias("length"), F.coalesce("p_page_id", "r_page_id").alias("page_id"), status.alias("status"), "sha_primary", "sha_replica")
+    return both.select("archive", "record_id", status.alias("status"), "start", "length", "sha_primary", "start_replica", "length_replica", "sha_replica")
 
 
-def write(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", per_archive: int = PER_ARCHIVE) -> None:
-    """Pages as WARC bytes in Parquet rows (archive, start, record), partition-free, for read() or for export."""
-    rid = F.concat_ws("\n", F.col(page_id).cast("string"), F.col(url))
-    rows = pages.select(F.coalesce(F.floor(F.col(page_id) / per_archive), F.lit(_NONE)).cast("long").alias("archive"), F.col(page_id).alias("page_id"), F.col(url).alias("_url"), record(F.col(url), F.col(html), rid).alias("record"))
-    before = Window.partitionBy("archive").orderBy("page_id", "_url", F.sha2("record", 256)).rowsBetween(Window.unboundedPreceding, -1)
-    rows.select("archive", F.coalesce(F.sum(F.octet_length("record")).over(before), F.lit(0)).cast("long").alias("start"), "record").write.mode("overwrite").parquet(path)
-
-
-def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers by lower-case name, body) of each record in the bytes of a WARC file, plain or gzip."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
-    at = 0
-    while (head := data.find(b"\r\n\r\n", at)) >= 0:
-        lines = data[at:head].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
+def compare(primary: DataFrame, replica: DataFrame, **options: int) -> DataFrame:
+    """audit() of the trees of two manifests."""
+    primary, replica = checkpoint(primary), checkpoint(replica)
+    shape = extent(primary, replica)
+    return audit(tree(primary, shape, **options), tree(replica, shape, **options))
+
+
+def records(stream: BinaryIO, offset: int = 0) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(offset, length, headers by lower-case name, body) of each record of a WARC stream, one in memory at a time."""
+    at = offset
+    while first := stream.readline():
+        if not first.startswith(b"WARC/"):
             raise ValueError(f"no record at offset {at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(headers["content-length"])
-        end = head + 4 + size
-        if end + 4 > len(data):
+        headers, size = {}, len(first)
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            size += len(line)
+            k, _, v = line.decode("utf-8", "replace").partition(":")
+            headers[k.strip().lower()] = v.strip()
+        n = int(headers.get("content-length", -1))
+        body, end = stream.read(max(n, 0)), stream.read(4)
+        if n < 0 or len(body) < n or end != b"\r\n\r\n":
             raise ValueError(f"record at offset {at} ends early")
-        yield at, end + 4 - at, headers, data[head + 4 : end]
-        at = end + 4
+        size += len(line) + n + 4
+        yield at, size, headers, body
+        at += size
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(path, start, length, record_id, type, url, body) of the records of WARC files, plain or gzip, by Spark's readers."""
+    """(path, start, length, record_id, type, url, body) of the records of WARC files, plain or gzip, by Spark's readers.
+
+    A file is one row of Spark's binary reader and so at most 2 GB; gzip members are unzipped as they are read, and
+    batches go on after about 16 MB, so that no file's content is held unzipped.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "start", "length", "record_id", "type", "url", "body"]
         for b in batches:
             for file, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows, types = [], [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
-                for at, n, h, body in records(data.as_py()):
+                rows, held, types = [], 0, [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+                raw = io.BytesIO(data.as_py())
+                zipped = raw.getvalue()[:2] == b"\x1f\x8b"
+                for at, n, h, body in records(gzip.GzipFile(fileobj=raw) if zipped else raw):
                     rows.append((file, at, n, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), body))
-                    if len(rows) == 1000:
+                    held += n
+                    if held >= 1 << 24 or len(rows) == 1000:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 

@@ -1,5 +1,8 @@
 import gzip
+import io
+from collections import Counter
 
+import pytest
 from chronolode.llm import warc
 from pyspark.sql import functions as F
 
@@ -10,23 +13,62 @@ def pages(n=3000):
     return [(i, f"http://h/{i}", f"<p>{'x' * (i % 50)}é{i}</p>", 0, "") for i in range(n)]
 
 
-def test_finds_exactly_what_differs(spark):
-    a = spark.createDataFrame([*pages(), (None, None, None, 1, "s"), (7, "http://h/7", "again", 1, "s"), (7, "http://h/7", "again", 1, "s"), (5000, "", "", 0, "")], PAGE)
-    m = warc.manifest(a)
-    changed = m.withColumn("sha", F.when(F.col("page_id").isin(0, 1500, 2999), "bad").otherwise(F.col("sha")))
-    lost = changed.filter("page_id is null or page_id <> 2048").unionByName(spark.createDataFrame([(1, 10**6, 5, "new", -5)], "archive long, start long, length long, sha string, page_id long"))
-    got = sorted((r["status"], r["page_id"]) for r in warc.audit(warc.tree(m), warc.tree(lost)).collect())
-    assert got == [("altered", 0), ("altered", 1500), ("altered", 2999), ("extra", -5), ("missing", 2048)]
-    assert warc.audit(warc.tree(m), warc.tree(warc.manifest(a.repartition(5)))).count() == 0
+def brute(left, right):
+    """(status, url) of the records that differ, by id and bytes."""
+    out = []
+    for side, other, name in ((left, right, "missing"), (right, left, "extra")):
+        rest = Counter(other)
+        for r in side:
+            if rest[r]:
+                rest[r] -= 1
+            else:
+                out.append((name, r[0]))
+    urls = Counter(u for s, u in out if s == "missing") & Counter(u for s, u in out if s == "extra")
+    for u, n in urls.items():
+        for _ in range(n):
+            out.remove(("missing", u))
+            out.remove(("extra", u))
+            out.append(("altered", u))
+    return sorted(out)
 
 
-def test_trees_of_different_extent_and_empty(spark):
-    m = warc.manifest(spark.createDataFrame(pages(), PAGE))
-    none = warc.manifest(spark.createDataFrame([], PAGE))
-    few = m.filter("archive = 0")
-    assert warc.audit(warc.tree(m), warc.tree(few)).count() == m.count() - few.count()
-    assert warc.audit(warc.tree(none), warc.tree(none)).count() == 0
-    assert {r["status"] for r in warc.audit(warc.tree(none), warc.tree(few)).collect()} == {"extra"}
+def test_one_fault_is_one_row_wherever_the_rest_lies(spark, tmp_path):
+    a = [*pages(), (None, "n", "x", 1, "s"), (None, None, "y", 1, "s"), (None, None, "z", 1, "s"), (7, "http://h/7", "again", 1, "s"), (7, "http://h/7", "again", 1, "s"), (5000, "", "", 0, ""), (9, "copies", "c", 0, ""), (9, "copies", "c", 0, ""), (9, "copies", "c", 0, "")]
+    b = [(i, u, {3: h + "longer", 1500: h[:-1], 1501: h.swapcase(), 2999: ""}.get(i, h), s, t) for i, u, h, s, t in a if i not in (2, 2048)]
+    b += [(3, "http://new/3", "new", 0, ""), (7, "http://h/7", "other", 1, "s")]
+    b.remove((9, "copies", "c", 0, ""))
+    n = warc.archives(spark.createDataFrame(a, PAGE))
+    sides = []
+    for name, rows in (("a", a), ("b", b)):
+        df = spark.createDataFrame(rows, PAGE).repartition(3)
+        warc.write(df, str(tmp_path / name), n_archives=n)
+        sides.append(warc.stored(spark, str(tmp_path / name)))
+        assert sides[-1].drop("url").exceptAll(warc.manifest(df, n_archives=n).select("archive", "start", "length", "sha", "record_id")).count() == 0
+    assert sides[0].count() == len(a) and n == 3
+    names = {r["record_id"]: r["url"] for s in sides for r in s.collect()}
+    got = sorted((r["status"], names[r["record_id"]]) for r in warc.compare(*sides).collect())
+    want = brute([(u or "", h) for _, u, h, *_ in a], [(u or "", h) for _, u, h, *_ in b])
+    assert got == want and len(want) == 9
+    assert warc.compare(sides[0], warc.stored(spark, str(tmp_path / "a"))).count() == 0
+
+
+def test_ids_of_any_type_and_shapes(spark):
+    df = spark.createDataFrame(pages(40), PAGE).withColumn("page_id", F.concat(F.lit("p-"), F.col("page_id").cast("string")))
+    m = warc.manifest(df, n_archives=4)
+    none = warc.manifest(df.limit(0))
+    assert m.count() == 40 and none.count() == 0
+    assert warc.compare(none, none).count() == 0
+    assert {r["status"] for r in warc.compare(none, m).collect()} == {"extra"} and {r["status"] for r in warc.compare(m, none).collect()} == {"missing"}
+    with pytest.raises(ValueError):
+        warc.audit(warc.tree(m, (10**9, 3)), warc.tree(m))
+
+
+def test_broken_records_fail_with_their_offset():
+    whole = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    assert [(a, n, b) for a, n, _, b in warc.records(io.BytesIO(whole * 2))] == [(0, len(whole), b"ab"), (len(whole), len(whole), b"ab")]
+    for bad in (whole + whole[:-5], whole + b"junk", whole + b"WARC/1.1\r\n\r\n"):
+        with pytest.raises(ValueError, match=f"offset {len(whole)}"):
+            list(warc.records(io.BytesIO(bad)))
 
 
 def test_descends_only_mismatching_branches(spark):
