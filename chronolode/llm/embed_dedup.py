@@ -1,14 +1,16 @@
 """Embedding near-duplicates by p-stable hashing for Euclidean distance.
 
 Vectors are normalised, so a cosine of at least COSINE is a distance of at most sqrt(2 - 2 COSINE). A table's key is
-the cells of WIDTH into which HASHES Gaussian projections (the 2-stable law) fall; TABLES tables are kept. With 10
-projections of width 1.2 a pair at distance 0.2 shares a table's key with probability 0.24, so that 48 tables miss
-2 pairs in a million at the very threshold and fewer above it; unrelated pairs meet with probability 1e-5 a table.
-Pairs that meet are counted once and verified by cosine in double precision.
+the cells of WIDTH into which Gaussian projections (the 2-stable law) fall. A label of LABEL classes has HASHES
+projections a table; a larger one has more, so that as many unrelated vectors meet in a table as before, and for it as
+many more tables as keep the chance to miss a pair at the very threshold below MISS.
 
 Vectors that are equal after normalisation are one class: search and verification run on classes, and members are
-counted by joins, so that copies never meet each other. A cell that holds more than BLOCK classes is cut into blocks;
-pairs of blocks are separate join keys, so that no cell is gathered in one task.
+counted by joins, so that copies never meet each other. Classes that share a key are compared as blocks of a matrix of
+cosines, in double precision. A pair counts in the first table in which it meets, and only sums leave a block: of each
+class the number of vectors linked, and a spanning forest of the links for the components. So rows grow with the
+classes and tables, not with the pairs of a group; what a large group of near copies costs is arithmetic. A cell of more
+than BLOCK classes is cut into parts, and pairs of parts are blocks of their own, so that no cell is gathered in one task.
 """
 
 from __future__ import annotations
@@ -23,14 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronolode.llm import _grid
-from chronolode.llm._session import checkpoint, connected_components
+from chronolode.llm._session import checkpoint, connected_components, hot_join
 
 COSINE = 0.98
 HASHES = 10
-TABLES = 48
+LABEL = 10_000
 WIDTH = 1.2
+MISS = 2e-6
 SEED = 7
-BLOCK = 256
+BLOCK = 512
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -56,9 +59,22 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / math.sqrt(float(v @ v))
 
 
+def meeting(distance: float, width: float) -> float:
+    """Chance that two vectors of this distance fall into the same cell of one projection."""
+    r = width / distance
+    return math.erf(r / math.sqrt(2)) - math.sqrt(2 / math.pi) / r * (1 - math.exp(-r * r / 2))
+
+
+def shape(classes: int, cosine: float, width: float) -> tuple[int, int]:
+    """Projections a table and tables for a label of so many classes; unrelated vectors are a right angle apart."""
+    near, far = meeting(math.sqrt(2 - 2 * cosine), width), meeting(math.sqrt(2), width)
+    hashes = HASHES + max(0, math.ceil(math.log(classes / LABEL) / -math.log(far)))
+    return hashes, math.ceil(math.log(MISS) / math.log1p(-(near**hashes)))
+
+
 def keys(vectors: np.ndarray, tables: int, hashes: int, width: float, seed: int) -> np.ndarray:
-    """64-bit table keys of unit vectors, one row a vector. Projections follow from seed, dimension and table."""
-    rng = np.random.Generator(np.random.PCG64([seed, vectors.shape[1]]))
+    """64-bit table keys of unit vectors, one row a vector. Projections follow from seed, dimension and numbers."""
+    rng = np.random.Generator(np.random.PCG64([seed, vectors.shape[1], hashes]))
     a = rng.standard_normal((vectors.shape[1], tables * hashes))
     b = rng.uniform(0, width, tables * hashes)
     cell = np.floor((vectors @ a + b) / width).astype(np.int64).reshape(len(vectors), tables, hashes)
@@ -68,40 +84,113 @@ def keys(vectors: np.ndarray, tables: int, hashes: int, width: float, seed: int)
     return h.view(np.int64)
 
 
-def _prepare(df: DataFrame, tables: int, hashes: int, width: float, seed: int) -> DataFrame:
-    """(cls, label, unit, keys) of usable rows; cls hashes the unit vector's bits and the label."""
+def _prepare(df: DataFrame) -> DataFrame:
+    """(vec_id, lab, cls, unit) of usable rows; cls hashes the unit vector's bits and the label, lab the label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = _matrix(batch.column(2))
-            for dim in sorted({len(v) for v in found}):
-                mine = np.array([i for i, v in enumerate(found) if len(v) == dim])
-                unit = np.stack([_unit(found[i]) for i in mine])
-                at = pa.array(rows[mine])
-                yield pa.record_batch([
-                    batch.column(0).take(at), batch.column(1).take(at),
-                    pa.array([(np.round(u, 12) + 0.0).tobytes() for u in unit], pa.binary()),
-                    pa.array([u.tobytes() for u in unit], pa.binary()),
-                    pa.array(list(keys(unit, tables, hashes, width, seed)), pa.list_(pa.int64())),
-                ], ["vec_id", "label", "bits", "unit", "keys"])
-
-    rows = df.filter("label is not null and embedding is not null").select("vec_id", "label", "embedding")
-    return rows.mapInArrow(run, T.StructType([rows.schema["vec_id"], rows.schema["label"], T.StructField("bits", T.BinaryType()), T.StructField("unit", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
-
-
-def _verify(pairs: DataFrame, cosine: float) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                u, v = np.frombuffer(x), np.frombuffer(y)
-                keep[i] = len(u) == len(v) and float(u @ v) / math.sqrt(float(u @ u) * float(v @ v)) >= cosine
-            yield pa.record_batch([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
+            units = [_unit(v) for v in found]
+            at = pa.array(rows)
+            yield pa.record_batch([
+                batch.column(0).take(at), batch.column(1).take(at),
+                pa.array([(np.round(u, 12) + 0.0).tobytes() for u in units], pa.binary()), pa.array([u.tobytes() for u in units], pa.binary()),
+            ], ["vec_id", "lab", "bits", "unit"])
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    rows = df.filter("label is not null and embedding is not null").select("vec_id", F.xxhash64("label").alias("lab"), "embedding")
+    kind = T.StructType([rows.schema["vec_id"], T.StructField("lab", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("unit", T.BinaryType())])
+    return rows.mapInArrow(run, kind).withColumn("cls", F.xxhash64("bits", "lab")).drop("bits")
 
 
-def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, seed: int = SEED) -> DataFrame:
+def _keyed(classes: DataFrame, cosine: float, width: float, seed: int) -> DataFrame:
+    """classes(cls, lab, n, unit, m) with keys, which also depend on the label."""
+    names = ["cls", "lab", "n", "unit"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lab, unit = batch.column(1).to_numpy().view(np.uint64), batch.column(3).to_pylist()
+            kinds = [(*shape(m, cosine, width), len(u)) for m, u in zip(batch.column(4).to_pylist(), unit, strict=True)]
+            for hashes, tables, size in sorted(set(kinds)):
+                mine = np.array([i for i, x in enumerate(kinds) if x == (hashes, tables, size)])
+                k = keys(np.stack([np.frombuffer(unit[i]) for i in mine]), tables, hashes, width, seed)
+                k = _grid.mix(k.view(np.uint64) ^ lab[mine][:, None]).view(np.int64)
+                yield pa.record_batch([*(batch.column(c).take(pa.array(mine)) for c in range(4)), pa.array(list(k), pa.list_(pa.int64()))], [*names, "keys"])
+
+    return classes.select(*names, "m").mapInArrow(run, "cls long, lab long, n long, unit binary, keys array<long>")
+
+
+def _forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric boolean matrix."""
+    new = linked.any(axis=1)
+    for root in range(len(linked)):
+        if not new[root]:
+            continue
+        new[root] = False
+        front = [root]
+        while front:
+            at = front.pop()
+            found = np.flatnonzero(linked[at] & new)
+            new[found] = False
+            for x in found.tolist():
+                yield at, x
+                front.append(x)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole blocks of equal (key, i, j), and where each begins; only one block is held over."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
+        new = (np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()
+        if new:
+            yield table.slice(0, new[-1]), [0, *new]
+            table = table.slice(new[-1])
+        rest = table
+    if rest is not None and rest.num_rows:
+        yield rest, [0, rest.num_rows]
+
+
+def _compare(cosine: float):
+    """Of each block, rows sorted by (key, i, j): (a, b, other), where b is null in sums and other 0 in edges."""
+
+    def block(key: int, within: bool, part: np.ndarray, cls: np.ndarray, n: np.ndarray, unit: np.ndarray, k: np.ndarray) -> tuple[list, list, list]:
+        size = np.sqrt(np.einsum("ij,ij->i", unit, unit))
+        near = unit @ unit.T / (size[:, None] * size) >= cosine
+        np.fill_diagonal(near, False)
+        if not within:
+            near &= part[:, None] != part[None, :]
+        if not near.any():
+            return [], [], []
+        edges = [(int(cls[x]), int(cls[y])) for x, y in _forest(near)]
+        table = int(np.flatnonzero(k[0] == key)[0])
+        for t in range(table):  # met before
+            near &= k[:, t, None] != k[None, :, t]
+        other = near @ n
+        some = np.flatnonzero(other)
+        return [*cls[some].tolist(), *(x for x, _ in edges)], [*[None] * len(some), *(y for _, y in edges)], [*other[some].tolist(), *[0] * len(edges)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in _blocks(batches):
+            key, i, j, part, cls, lab, n = (table.column(c).to_numpy() for c in ("key", "i", "j", "part", "cls", "lab", "n"))
+            unit, own_keys = table.column("unit").to_pylist(), table.column("keys")
+            a, b, other = [], [], []
+            for begin, stop in zip(bounds[:-1], bounds[1:], strict=True):
+                kinds = [(x, len(u)) for x, u in zip(lab[begin:stop].tolist(), unit[begin:stop], strict=True)]
+                for kind in set(kinds):  # one, but for keys that agree by chance
+                    at = np.array([begin + x for x, y in enumerate(kinds) if y == kind])
+                    if len(at) > 1:
+                        k = np.array(own_keys.take(pa.array(at)).combine_chunks().flatten()).reshape(len(at), -1)
+                        found = block(int(key[begin]), i[begin] == j[begin], part[at], cls[at], n[at], np.stack([np.frombuffer(unit[x]) for x in at]), k)
+                        for x, y in zip((a, b, other), found, strict=True):
+                            x += y
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(other, pa.int64())], ["a", "b", "other"])
+
+    return run
+
+
+def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, width: float = WIDTH, seed: int = SEED) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label).
 
     Rows link where labels are equal and not null and the cosine is at least `cosine`. Null, empty and zero vectors,
@@ -110,30 +199,26 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, tables: int =
     component (it is kept only where no id is reached). Other columns play no part. An empty table
     gives an empty result.
     """
-    rows = checkpoint(_prepare(vectors, tables, hashes, width, seed).withColumn("cls", F.xxhash64("bits", F.col("label"))).drop("bits"))
-    classes = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("low"), F.first("unit").alias("unit"), F.first("keys").alias("keys"))
-    classes = checkpoint(classes)
-    labels = rows.groupBy("cls").agg(F.first("label").alias("label"))
-    cells = classes.join(labels, "cls").select("cls", "label", F.explode("keys").alias("key"))
-    # A cell of more than BLOCK classes: blocks by hash, pairs of blocks as join keys.
-    crowded = cells.groupBy("label", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    cells = cells.join(crowded, ["label", "key"]).withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
-    cells = cells.withColumn("part", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts")).cast("int"))
-    left = cells.select(F.col("cls").alias("a"), "label", "key", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"))
-    right = cells.select(F.col("cls").alias("b"), "label", "key", F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"))
-    met = left.join(right, ["label", "key", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    units = classes.select("cls", "unit")
-    pairs = pairs.join(units.select(F.col("cls").alias("a"), F.col("unit").alias("x")), "a").join(units.select(F.col("cls").alias("b"), F.col("unit").alias("y")), "b")
-    links = checkpoint(_verify(pairs, cosine))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(classes.select(F.col("cls").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("other"))
-    comp = connected_components(links)
+    rows = checkpoint(_prepare(vectors))
+    classes = checkpoint(rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("low"), F.first("lab").alias("lab"), F.first("unit").alias("unit")))
+    sizes = classes.groupBy("lab").agg(F.count(F.lit(1)).alias("m"))
+    keyed = checkpoint(_keyed(hot_join(classes, sizes, ["lab"], "m"), cosine, width, seed))
+    cells = keyed.select("cls", F.explode("keys").alias("key"))
+    crowded = cells.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # A cell of more than BLOCK classes: parts by hash, pairs of parts as keys.
+    entries = cells.join(crowded, "key").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
+    entries = entries.withColumn("part", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts")).cast("int"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least("part", x).alias("i"), F.greatest("part", x).alias("j"))))
+    entries = entries.select("key", "cls", "part", pair.alias("p")).select("key", "p.i", "p.j", "part", "cls")
+    blocks = entries.join(keyed, "cls").select("key", "i", "j", "part", "cls", "lab", "n", "unit", "keys")
+    found = checkpoint(blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cls").mapInArrow(_compare(cosine), "a long, b long, other long"))
+    linked = found.filter("b is null").groupBy("a").agg(F.sum("other").alias("other"))
+    comp = connected_components(found.filter("b is not null").select("a", "b"))
     known = classes.select("cls", "n", "low").join(linked.withColumnRenamed("a", "cls"), "cls", "left").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
     known = known.withColumn("root", F.coalesce("component", "cls"))
     least = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = known.join(least, "root").select("cls", (F.col("n") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"), "component_id")
-    found = rows.select("vec_id", "cls").join(known, "cls").select("vec_id", "n_links", "component_id")
+    known = checkpoint(known.join(least, "root").select("cls", "n", (F.col("n") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"), "component_id"))
+    found = hot_join(rows.select("vec_id", "cls"), known, ["cls"], "n").select("vec_id", "n_links", "component_id")
     # Rows that link with nothing: those that _prepare left out.
     out = _unusable(vectors).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(out).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))

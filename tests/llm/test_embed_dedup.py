@@ -56,8 +56,18 @@ def test_recall_at_the_threshold():
     b -= (a * b).sum(1, keepdims=True) * a
     b /= np.linalg.norm(b, axis=1, keepdims=True)
     near = 0.98 * a + np.sqrt(1 - 0.98**2) * b
-    args = ed.TABLES, ed.HASHES, ed.WIDTH, ed.SEED
-    assert (ed.keys(a, *args) == ed.keys(near, *args)).any(axis=1).mean() > 0.999
+    for classes in (10, 10_000, 300_000, 10_000_000):
+        hashes, tables = ed.shape(classes, 0.98, ed.WIDTH)
+        some = slice(0, 4000 if classes < 10**6 else 500)
+        met = [(ed.keys(x[some], tables, hashes, ed.WIDTH, ed.SEED)) for x in (a, near, -b)]
+        assert (met[0] == met[1]).any(axis=1).mean() > 0.999
+        # Of unrelated vectors as many meet in the largest label as in a small one, or fewer.
+        assert (met[0] == met[2]).mean() * classes < 0.5 or classes <= 10_000
+
+
+def test_larger_labels_have_more_projections_and_tables():
+    shapes = [ed.shape(n, 0.98, ed.WIDTH) for n in (1, 10_000, 100_000, 10**7)]
+    assert shapes[0] == shapes[1] == (10, 48) and all(x < y for x, y in zip(shapes[1:], shapes[2:], strict=False))
 
 
 def test_empty(spark):
