@@ -8,8 +8,8 @@ by their paths, of which only the shared part and one node beyond is needed, a n
 through it, and its offset is a running sum over (rank, depth), added up by range partitions. A node's tokens attend to
 themselves causally and to its ancestors' tokens, as intervals of the emitted stream; neighbours in it are merged.
 
-A first turn that a third of all conversations share is one row after map-side aggregation, and its conversations stay
-spread by rank. Turns of one conversation are read in order as a stream, never gathered.
+A first turn that a third of all conversations share is one row after map-side aggregation; its conversations stay
+spread by rank and meet its node by broadcast. Turns of one conversation are read in order as a stream, never gathered.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronolode.llm._session import checkpoint
+from chronolode.llm._session import checkpoint, hot_join
 
 OPEN, CLOSE, HEAD = "<s>", "</s>", "\n"
 # Control strings of the template family; a backslash goes behind the first character of each.
@@ -123,22 +123,22 @@ def build(conversations: DataFrame, *, tokenizer: str | None = None) -> tuple[Da
     # Of conversations that are equal throughout one stands for all.
     last = members.groupBy("conv_id").agg(F.max(F.struct("depth", *_KEY)).alias("leaf"))
     one = last.groupBy("leaf").agg(F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id")).alias("of")).select(F.col("of.conv_id").alias("rep"))
-    own = members.join(one, F.col("conv_id").eqNullSafe(F.col("rep"))).drop("rep")
-    through = own.groupBy(*_KEY).agg((F.count(F.lit(1)) > 1).alias("shared"))
-    own = checkpoint(own.join(through, list(_KEY)))
+    own = checkpoint(members.join(one, F.col("conv_id").eqNullSafe(F.col("rep"))).drop("rep"))
+    through = checkpoint(own.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("paths")))
+    own = checkpoint(hot_join(own, through, list(_KEY), "paths").withColumn("shared", F.col("paths") > 1))
     paths = (own.withColumn("n", F.sum(F.col("shared").cast("int")).over(Window.partitionBy("conv_id").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)))
              .filter(F.col("shared") | (F.col("depth") == F.col("n") + 1)).groupBy("conv_id")
              .agg(F.array_sort(F.collect_list(F.struct("depth", *_KEY))).alias("path")))
     ranked = _running(paths, ["path"], F.lit(1).cast("long"), "rank").select(F.col("conv_id").alias("rep"), "rank")
-    own = own.join(ranked, F.col("conv_id").eqNullSafe(F.col("rep"))).drop("rep", "conv_id", "shared")
+    own = own.join(ranked, F.col("conv_id").eqNullSafe(F.col("rep"))).drop("rep", "conv_id", "shared", "paths")
     own = checkpoint(own)
-    owner = own.groupBy(*_KEY).agg(F.min("rank").alias("rank"))
+    owner = own.groupBy(*_KEY).agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("paths"))
     nodes = _running(nodes.join(owner, list(_KEY)), ["rank", "depth"], F.col("n_tokens"), "start")
     nodes = checkpoint(nodes)
-    spans = own.join(nodes.select(*_KEY, "start", "n_tokens", F.col("rank").alias("first")), list(_KEY))
+    spans = hot_join(own, nodes.select(*_KEY, "start", "n_tokens", F.col("rank").alias("first"), "paths"), list(_KEY), "paths")
     spans = spans.select("rank", "depth", *_KEY, "start", "n_tokens", (F.col("first") == F.col("rank")).alias("mine"))
     attends = spans.repartition("rank").sortWithinPartitions("rank", "depth").mapInArrow(_attention, "k1 long, k2 long, attends array<struct<from:long,to:long>>")
-    return nodes.drop("rank").join(attends, list(_KEY)), members
+    return checkpoint(nodes.drop("rank", "paths").join(attends, list(_KEY))), members
 
 
 def _attention(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +163,7 @@ def _attention(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) as read from the emitted segments."""
-    rows = members.join(nodes.select(*_KEY, "segment", "loss_from", "loss_to"), list(_KEY)).select("conv_id", "depth", "segment", "loss_from", "loss_to")
+    rows = hot_join(members, nodes.select(*_KEY, "segment", "loss_from", "loss_to", "n_conversations"), list(_KEY), "n_conversations").select("conv_id", "depth", "segment", "loss_from", "loss_to")
     kind = rows.schema["conv_id"].dataType
     out = T.StructType([T.StructField("conv_id", kind), T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()), T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType())])
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronolode.llm import _grid
-from chronolode.llm._session import checkpoint, connected_components
+from chronolode.llm._session import checkpoint, connected_components, hot_join
 
 BITS = 3
 SHINGLE = 3
@@ -108,12 +108,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     part. An empty table gives an empty result.
     """
     rows = checkpoint(fingerprints(docs, doc_id=doc_id, text=text))
-    fps = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    fps = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")))
     comp = connected_components(links(fps.select("fp")))
     fps = fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
     least = fps.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = fps.join(least, "root").select("fp", "root", "component_id")
-    return rows.join(known, "fp").select("doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
+    known = checkpoint(fps.join(least, "root").select("fp", "root", "component_id", "n"))
+    return hot_join(rows, known, ["fp"], "n").select("doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

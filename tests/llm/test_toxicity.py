@@ -1,5 +1,10 @@
+import math
 import random
+import re
 
+import numpy as np
+import pytest
+from chronolode.llm import _grid
 from chronolode.llm import toxicity as tox
 from pyspark.sql import functions as F
 
@@ -75,3 +80,39 @@ def test_plain_sentences_are_no_evidence(spark):
     by = {r["doc_id"]: r for r in rows}
     assert (by[0]["score"], by[0]["predicted"], by[0]["sentences"]) == (0, 0, [])
     assert by[1]["score"] == by[2]["score"] and by[1]["predicted"] == 1 and len(by[1]["sentences"]) == 1
+
+
+def brute(text, model):
+    """The noisy-or in plain Python: sentences by punctuation and line ends, words with their beginnings, each once."""
+    left, found = 1.0, []
+    for sentence in re.split(r"[.!?\n]", text or ""):
+        seen = set()
+        for word in re.findall(r"[A-Za-z\u0080-\U0010ffff]+", sentence):
+            word = "".join(c.lower() if c < "\u0080" or "\u00c0" <= c <= "\u00de" else c for c in word).encode()
+            h = _grid.hash_slices(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]), tox.PREFIXES)[:, 0]
+            seen |= {int(x) >> (64 - tox.FEATURE_BITS) for x in h if x}
+        weights = [float(model.weights[f]) for f in seen if model.weights[f]]
+        if weights:
+            p = 1 / (1 + math.exp(-model.bias - sum(weights)))
+            left *= 1 - p
+            found.append(p)
+    return 1 - left, [p for p in found if p >= tox.SENTENCE_THRESHOLD]
+
+
+def test_scores_equal_a_plain_noisy_or(spark):
+    docs, labels = corpus()
+    d = spark.createDataFrame([*docs, (1000, "ÜBER zukworten. zukwortist! ÀÞ\nx", None, None, None), (1001, None, None, None, None)], DOC)
+    model = tox.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    for r in tox.score(d, model).collect():
+        score, found = brute(r["text"], model)
+        assert r["score"] == pytest.approx(score, abs=1e-6) and [x["p"] for x in r["sentences"]] == pytest.approx(found, rel=1e-4)
+
+
+def test_learning_reads_one_row_an_id_and_no_longer_texts_than_the_bound(spark, monkeypatch):
+    docs, labels = corpus(150)
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = tox.fit(spark.createDataFrame(docs, DOC), lab)
+    monkeypatch.setattr(tox, "MAX_BYTES", max(len(d[1].encode()) for d in docs))
+    more = [(i, "z " * tox.MAX_BYTES, "s", 1, None) for i in (0, 6, 12)] + docs[:50]
+    again = tox.fit(spark.createDataFrame(docs + more, DOC), lab)
+    assert again.bias == model.bias and (again.weights == model.weights).all()
