@@ -11,7 +11,7 @@ MIN_SCORE or more become spans of that kind.
 Positions come from splitting a text at the matches of a pattern: lengths of pieces and matches add up to offsets in
 code points. Phrases are lower-cased whole words, of any length, and go by their hashes. Mentions are counted by
 (pattern, instance) before they are shuffled, so that a string in a third of all documents is one row for each task.
-Phrases of the corpus are counted only where a filter of BITS bits, whatever the number of patterns, lets them pass.
+Phrases of the corpus are counted only where a filter of SLOTS places, whatever the number of patterns, lets them pass.
 """
 
 from __future__ import annotations
@@ -36,9 +36,9 @@ MIN_CONFIDENCE = 0.6
 MIN_SCORE = 0.8
 ROUNDS = 3
 PHRASE = 3
-BITS = 1 << 18
+SLOTS = 1 << 18
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-_SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,item:string,l:array<bigint>,r:array<bigint>>>"
+_SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,item:string,l:string,r:string>>"
 
 
 def _digits(s: Column) -> Column:
@@ -84,7 +84,7 @@ def _spans(pieces: Column, matches: Column, kind: str, rank: int) -> Column:
     def add(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["p"])
         end = start + F.length(x["m"])
-        left, right = _phrases(F.reverse(F.regexp_extract(F.reverse(x["p"]), _AHEAD, 1)), True), _phrases(F.regexp_extract(x["q"], _AHEAD, 1), False)
+        left, right = F.reverse(F.regexp_extract(F.reverse(x["p"]), _AHEAD, 1)), F.regexp_extract(x["q"], _AHEAD, 1)
         one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("item"), left.alias("l"), right.alias("r")))
         return F.struct(end.alias("pos"), F.when(_valid(kind, x["m"]), F.concat(acc["spans"], one.cast(_SPAN))).otherwise(acc["spans"]).alias("spans"))
 
@@ -93,7 +93,8 @@ def _spans(pieces: Column, matches: Column, kind: str, rank: int) -> Column:
 
 
 def annotate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, base, cand): spans of the base patterns by start and kind, and candidates apart from them."""
+    """(doc_id, text_hash, base, cand): spans of the base patterns by start and kind, and candidates apart from them;
+    l and r of a span hash the phrases before and behind it."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), t.alias("t"))
     rows = rows.withColumn("d", F.col("t").rlike("[0-9]"))
@@ -108,27 +109,29 @@ def annotate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     found = {kind: _spans(F.col(f"p_{kind}"), F.col(f"m_{kind}"), kind, rank) for rank, (kind, _, _) in enumerate(kinds)}
     rows = rows.select("doc_id", "text_hash", F.array_sort(F.concat(*[found[k] for k in KINDS])).alias("base"), F.concat(found["number"], found["mailish"]).alias("cand"))
     apart = F.filter("cand", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return rows.withColumn("cand", apart)
+    rows = rows.withColumn("cand", apart)
+
+    def hashed(x: Column) -> Column:
+        return F.struct(*[x[c].alias(c) for c in ("start", "rank", "end", "kind", "item")], _phrases(x["l"], True).alias("l"), _phrases(x["r"], False).alias("r"))
+
+    return rows.select("doc_id", "text_hash", *[F.transform(c, hashed).alias(c) for c in ("base", "cand")])
 
 
 def _totals(docs: DataFrame, text: str, slots: DataFrame) -> DataFrame:
     """(phrase, total): how often the phrases of slots, and some others, stand in the texts."""
-    place = F.col("phrase").bitwiseAND(BITS - 1)
-    words = slots.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int")).alias("b"))
-    set_ = {r["w"]: r["b"] for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect()}  # at most BITS / 64 rows
-    bits = F.lit([int(set_.get(i, 0)) for i in range(BITS // 64)]).cast("array<bigint>")
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda x: x != "")
+    # The condition, always true, keeps the optimizer from putting the split in place of each use of the column.
+    rows = docs.select(F.when(F.rand() >= 0, words).otherwise(F.array().cast("array<string>")).alias("w"))
+    following = F.arrays_zip(*[F.slice("w", k, F.greatest(F.size("w"), F.lit(1))).alias(f"w{k}") for k in range(1, PHRASE + 1)])
 
-    def passes(h: Column) -> Column:
-        at = h.bitwiseAND(BITS - 1)
-        return F.call_function("shiftright", F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+    def hashes(x: Column) -> Column:
+        return F.array(*[F.when(x[f"w{k}"].isNotNull(), F.xxhash64(F.concat_ws(" ", *[x[f"w{i}"] for i in range(1, k + 1)]))) for k in range(1, PHRASE + 1)])
 
-    # Apart, so that the split is made once a row.
-    rows = docs.select(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda x: x != "").alias("w")).filter(F.size("w") > 0)
-    each = []
-    for k in range(1, PHRASE + 1):
-        starts = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
-        each.append(F.filter(F.transform(starts, lambda i, k=k: F.xxhash64(F.concat_ws(" ", F.slice("w", i, k)))), passes))
-    return rows.select(F.explode(F.concat(*each)).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("total"))
+    each = F.array_compact(F.flatten(F.transform(following, hashes)))
+    place = F.col("phrase").bitwiseAND(SLOTS - 1).alias("place")
+    places = F.broadcast(slots.select(place).distinct())  # at most SLOTS rows
+    phrases = rows.select(F.explode(each).alias("phrase")).select("phrase", place)
+    return phrases.join(places, "place", "left_semi").groupBy("phrase").agg(F.count(F.lit(1)).alias("total"))
 
 
 def discover(found: DataFrame, docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -178,9 +181,9 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
     extra = (cand.join(new, (F.col("x.item") == F.col("item")) & (F.col("x.kind") == F.col("class")))
              .groupBy(F.col("doc_id").alias("e_id"), F.col("text_hash").alias("e_hash"))
-             .agg(F.collect_list(F.struct(F.col("x.start").alias("start"), rank.alias("rank"), F.col("x.end").alias("end"), "kind", "item", F.col("x.l").alias("l"), F.col("x.r").alias("r"))).cast(_SPAN).alias("extra")))
+             .agg(F.collect_list(F.struct(F.col("x.start").alias("start"), rank.alias("rank"), F.col("x.end").alias("end"), "kind", "item", F.col("x.l").alias("l"), F.col("x.r").alias("r"))).alias("extra")))
     out = found.join(extra, F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("text_hash") == F.col("e_hash")), "left")
-    spans = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(_SPAN))))
+    spans = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(found.schema["base"].dataType))))
     return out.select("doc_id", "text_hash", "base", spans.alias("spans"))
 
 
