@@ -101,8 +101,13 @@ def requeue_dead(jobs: DataFrame, queue, now: Column, limit: int = 100) -> DataF
 def plan_ingest(dates: DataFrame, versions: DataFrame) -> DataFrame:
     """One job for each snapshot date: its payload lists the versions that begin on or cover it, its key names it."""
     v = versions.select("section", "record_id", F.col("effective_from").alias("f"), F.col("effective_to").alias("t"))
-    days = dates.select(F.explode(F.array("day")).alias("day")).distinct()
-    covered = days.join(v, (F.col("f") <= F.col("day")) & (F.col("t").isNull() | (F.col("day") < F.col("t"))))
+    days = dates.filter("day is not null").select("day").distinct().withColumn("month", F.trunc("day", "month"))
+    # Dates and intervals meet by the months that an interval touches, up to the last date.
+    last = F.lit(days.agg(F.max("day")).first()[0]).cast("date")
+    until = F.least(F.coalesce(F.col("t"), last), last)
+    v = v.filter((F.col("f") <= last) & (F.col("t").isNull() | (F.col("f") < F.col("t"))))
+    v = v.withColumn("month", F.explode(F.sequence(F.trunc("f", "month"), F.trunc(until, "month"), F.expr("interval 1 month"))))
+    covered = days.join(v, "month").filter((F.col("f") <= F.col("day")) & (F.col("t").isNull() | (F.col("day") < F.col("t"))))
     jobs = covered.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("section", "record_id"))).alias("intervals"))
     return jobs.select("day", F.concat(F.lit("snapshot:"), F.col("day").cast("string")).alias("idempotency_key"), F.to_json(F.struct(F.col("day"), F.col("intervals"))).alias("payload"), F.size("intervals").alias("n"))
 

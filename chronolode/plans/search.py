@@ -112,11 +112,11 @@ def overlap_check(spark: SparkSession, d: str) -> DataFrame:
     return temporal.overlaps(o)
 
 
-_TURNS = f"turns AS (SELECT conv_id, turn, DATE '{v.EPOCH}' + ((conv_id * 7 + (turn // 2) * 400) % 3500)::INT AS as_of, role FROM conversations)"
+_TURNS = f"turns AS (SELECT conv_id, turn, DATE '{v.EPOCH}' + ((conv_id * 7 + (turn // 2) * 400) % 3500)::INT AS as_of, role, text FROM conversations)"
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
-    return v.table(spark, d, "conversations").select("conv_id", "turn", v._day("(conv_id * 7 + CAST(turn / 2 AS INT) * 400) % 3500").alias("as_of"), "role")
+    return v.table(spark, d, "conversations").select("conv_id", "turn", v._day("(conv_id * 7 + CAST(turn / 2 AS INT) * 400) % 3500").alias("as_of"), "role", "text")
 
 
 @query(f"{_CTE}, {_TURNS}, p AS (SELECT conv_id, min(as_of) AS a, max(as_of) AS b FROM turns GROUP BY 1), f AS (SELECT DISTINCT effective_from AS e FROM versions) "

@@ -167,12 +167,12 @@ def job_heartbeat(spark: SparkSession, d: str) -> DataFrame:
     return jobs.heartbeat(t, alive, _now()).select("id", F.unix_micros("available_at").alias("available_us"))
 
 
-@query(f"{_RECORDS}, days AS (SELECT DISTINCT date_trunc('month', effective_from)::DATE AS day FROM rec WHERE section % 50 = 0) SELECT day, 'snapshot:' || day AS idempotency_key, count(*)::INT AS n FROM days JOIN tl ON effective_from <= day AND (effective_to IS NULL OR day < effective_to) WHERE section % 50 = 0 GROUP BY day", "day")
+@query(f"{_RECORDS}, days AS (SELECT DISTINCT date_trunc('month', effective_from)::DATE AS day FROM rec) SELECT day, 'snapshot:' || day AS idempotency_key, count(*)::INT AS n FROM days JOIN tl ON effective_from <= day AND (effective_to IS NULL OR day < effective_to) GROUP BY day", "day")
 def ingest_plan(spark: SparkSession, d: str) -> DataFrame:
     from chronolode.operators import temporal
 
-    tl = temporal.timeline(_records(spark, d)).filter("section % 50 = 0")
-    days = _records(spark, d).filter("section % 50 = 0").select(F.trunc("effective_from", "month").alias("day"))
+    tl = temporal.timeline(_records(spark, d))
+    days = _records(spark, d).select(F.trunc("effective_from", "month").alias("day"))
     return jobs.plan_ingest(days, tl).select("day", "idempotency_key", "n")
 
 
@@ -304,9 +304,9 @@ def next_turn(spark: SparkSession, d: str) -> DataFrame:
     return an.next_turn(c.filter("conv_id % 4 <> 0"), c)
 
 
-@query(f"WITH {_TURNS} SELECT conv_id, string_agg('[' || as_of || '] ' || role || ': ' || left(role, 3), chr(10) ORDER BY turn) AS history FROM turns GROUP BY 1")
+@query(f"WITH {_TURNS} SELECT conv_id, string_agg('[' || as_of || '] ' || role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS history FROM turns GROUP BY 1")
 def prompt_history(spark: SparkSession, d: str) -> DataFrame:
-    return an.history(turns(spark, d).withColumn("text", F.substring("role", 1, 3)))
+    return an.history(turns(spark, d).withColumn("text", F.coalesce("text", F.lit(""))))
 
 
 @query("WITH t AS (SELECT event_id, value, max(value) OVER (PARTITION BY event_type) AS top FROM events) SELECT event_id, CASE WHEN value / top >= 0.92 THEN 'strongest' WHEN value / top >= 0.75 THEN 'strong' WHEN value / top >= 0.45 THEN 'moderate' ELSE 'weak' END AS strength, "
@@ -376,10 +376,10 @@ def word_diff(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("conv_id", "turn", "x.old", "x.new")
 
 
-@query("SELECT doc_id, replace(replace(replace(replace(replace(left(text, 60), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&#39;'), '\"', '&#34;') AS escaped, '<strong>' || source || '</strong> [' || doc_id || ']' AS bold FROM documents")
+@query("SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&#39;'), '\"', '&#34;') AS escaped, '<strong>' || source || '</strong> [' || doc_id || ']' AS bold FROM documents")
 def markup(spark: SparkSession, d: str) -> DataFrame:
     t = v.table(spark, d, "documents")
-    return t.select("doc_id", tx.escaped(F.substring("text", 1, 60)).alias("escaped"), tx.bold(F.concat(F.lit("**"), "source", F.lit("** ["), "doc_id", F.lit("]"))).alias("bold"))
+    return t.select("doc_id", tx.escaped(F.col("text")).alias("escaped"), tx.bold(F.concat(F.lit("**"), "source", F.lit("** ["), "doc_id", F.lit("]"))).alias("bold"))
 
 
 # Traces.
