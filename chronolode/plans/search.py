@@ -241,12 +241,12 @@ def _hits(df: DataFrame) -> DataFrame:
     return df.select("qid", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@query(f"{_KNN}, {_knn(False, 10)} SELECT qid, id, round(distance, 6) AS distance, rank FROM nn")
+@query(f"{_KNN}, {_knn(False, 10)} SELECT qid, id, round(distance, 6) + 0 AS distance, rank FROM nn")
 def knn_exact(spark: SparkSession, d: str) -> DataFrame:
     return _hits(vx.ExactIndex(v.vectors(spark, d)).search(v.vector_queries(spark, d), 10))
 
 
-@query(f"{_KNN}, {_knn(True, 10)} SELECT qid, id, round(distance, 6) AS distance, rank FROM nn")
+@query(f"{_KNN}, {_knn(True, 10)} SELECT qid, id, round(distance, 6) + 0 AS distance, rank FROM nn")
 def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
     return _hits(vx.ExactIndex(v.vectors(spark, d)).search(v.vector_queries(spark, d), 10, admissible=_adm(spark, d)))
 
@@ -259,11 +259,11 @@ def knn_ground_truth(spark: SparkSession, d: str) -> DataFrame:
 
 def _fixed_centroids(spark: SparkSession, d: str) -> np.ndarray:
     """The first vector of each label."""
-    first = v.table(spark, d, "embeddings").filter("vec_id % 50 <> 7").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e")).orderBy("label").collect()
+    first = v.table(spark, d, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e")).orderBy("label").collect()
     return np.array([r["e"] for r in first], np.float64)
 
 
-_CELLS = """cen AS (SELECT (row_number() OVER (ORDER BY label) - 1)::INT AS cell, c FROM (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS c FROM embeddings WHERE vec_id % 50 <> 7 GROUP BY 1)),
+_CELLS = """cen AS (SELECT (row_number() OVER (ORDER BY label) - 1)::INT AS cell, c FROM (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS c FROM embeddings GROUP BY 1)),
 asg AS (SELECT id, vector, cell FROM (SELECT id, vector, cell, row_number() OVER (PARTITION BY id ORDER BY round(list_dot_product(vector, c), 12) DESC, cell) AS r FROM vecs, cen) WHERE r = 1),
 cd AS (SELECT qid, vq.vector, cell, row_number() OVER (PARTITION BY qid ORDER BY round(1 - list_dot_product(vq.vector, c), 12), cell) AS r FROM vq, cen)"""
 
@@ -280,7 +280,7 @@ def ivf_list_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {v.VECTORS}, {_CELLS}, h AS (SELECT qid, id, round(1 - list_dot_product(asg.vector, cd.vector), 12) AS distance FROM cd JOIN asg USING (cell) WHERE r <= 3)
-SELECT qid, id, round(distance, 6) AS distance, (row_number() OVER (PARTITION BY qid ORDER BY distance, id))::INT AS rank FROM h QUALIFY rank <= 10""")
+SELECT qid, id, round(distance, 6) + 0 AS distance, (row_number() OVER (PARTITION BY qid ORDER BY distance, id))::INT AS rank FROM h QUALIFY rank <= 10""")
 def ivf_search(spark: SparkSession, d: str) -> DataFrame:
     return _hits(vx.CellIndex(v.vectors(spark, d), _fixed_centroids(spark, d)).search(v.vector_queries(spark, d), 10, effort=3))
 
@@ -289,7 +289,7 @@ def ivf_search(spark: SparkSession, d: str) -> DataFrame:
 w AS (SELECT qid, vector, cell, r, coalesce(sum(coalesce(n, 0)) OVER (PARTITION BY qid ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM cd LEFT JOIN n USING (cell)),
 p AS (SELECT * FROM w WHERE r <= 2 OR before < 10), used AS (SELECT qid, count(*)::INT AS probed FROM p GROUP BY 1),
 h AS (SELECT qid, id, round(1 - list_dot_product(ok.vector, p.vector), 12) AS distance FROM p JOIN ok USING (cell))
-SELECT qid, id, round(distance, 6) AS distance, (row_number() OVER (PARTITION BY qid ORDER BY distance, id))::INT AS rank, probed FROM h JOIN used USING (qid) QUALIFY rank <= 10""")
+SELECT qid, id, round(distance, 6) + 0 AS distance, (row_number() OVER (PARTITION BY qid ORDER BY distance, id))::INT AS rank, probed FROM h JOIN used USING (qid) QUALIFY rank <= 10""")
 def ivf_filtered_probe(spark: SparkSession, d: str) -> DataFrame:
     index = vx.CellIndex(v.vectors(spark, d), _fixed_centroids(spark, d))
     hits = index.search(v.vector_queries(spark, d), 10, effort=2, admissible=_adm(spark, d), with_probes=True)
@@ -315,11 +315,11 @@ def hnsw_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 def _hybrid_queries(spark: SparkSession, d: str) -> DataFrame:
     """Text query i with the vector of id 50 i - 43."""
-    vec = v.vector_queries(spark, d).select(((F.col("qid") + 43) / 50).cast("long").alias("qid"), "vector")
+    vec = v.vector_queries(spark, d).select((F.col("qid") / 20 + 1).cast("long").alias("qid"), "vector")
     return v.text_queries(spark).join(F.broadcast(vec.filter(F.col("qid") <= len(v.TEXT_QUERIES))), "qid")
 
 
-_HYBRID = _bm25(True, 50) + f""", {v.VECTORS.replace('vq AS (SELECT vec_id AS qid', 'vq AS (SELECT (vec_id + 43) // 50 AS qid').replace('vec_id % 50 = 7)', f'vec_id % 50 = 7 AND (vec_id + 43) // 50 <= {len(v.TEXT_QUERIES)})')}, {_knn(True, 50)},
+_HYBRID = _bm25(True, 50) + f""", {v.VECTORS.replace('vq AS (SELECT vec_id AS qid', 'vq AS (SELECT vec_id // 20 + 1 AS qid').replace('vec_id % 20 = 0)', f'vec_id % 20 = 0 AND vec_id // 20 + 1 <= {len(v.TEXT_QUERIES)})')}, {_knn(True, 50)},
 l AS (SELECT qid, 'lexical' AS list, id, rank FROM bm UNION ALL SELECT qid, 'vector', id, rank FROM nn),
 fu AS (SELECT qid, id, floor(sum(1.0::DOUBLE / (60.0::DOUBLE + rank)) * 1e12) / 1e12 AS score, coalesce(max(rank) FILTER (list = 'lexical'), 0) AS lexical_rank, coalesce(max(rank) FILTER (list = 'vector'), 0) AS vector_rank FROM l GROUP BY 1, 2)"""
 
