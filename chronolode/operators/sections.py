@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 # Sizes in characters, depth, and the marks that open a level.
 TARGET, LARGEST, DEPTH = 900, 1800, 8
-OPENERS = frozenset("1aAiI")
-_ROMAN = dict(zip("ivxlcdm", (1, 5, 10, 50, 100, 500, 1000), strict=True))
+OPENERS = frozenset({"1", "a", "A", "i", "I"})
+_ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 _FIRST = re.compile(r"\(([A-Za-z0-9]+)\)\s*")
 _AFTER_DASH = re.compile(r"[^—]{0,120}—\s*\(([A-Za-z0-9]+)\)\s*")
 

@@ -321,6 +321,12 @@ def test_markup(spark):
     assert df.select(tx.citation_chips("t", "c")).first()[0] == 'see <a class="chip" href="#cite-1">1</a> and [8] &lt;b&gt;'
     assert df.select(tx.highlighted("x", F.lit("quick brown fox jumps"))).first()[0] == "the <mark>quick  brown fox jumps</mark>"
     assert df.select(tx.highlighted("x", F.lit("brown fox"))).first()[0] == "the quick  brown fox jumps"
+    odd = spark.createDataFrame([(r"a \E$1 (b c d a \E$1 (b c", "[3][03][99999999999999999999][3", None)], "x string, t string, q string")
+    assert odd.select(tx.highlighted("x", F.lit("\\E$1  (b\nc d"))).first()[0] == r"a <mark>\E$1 (b c d</mark> a \E$1 (b c"
+    assert odd.select(tx.highlighted("x", "q")).first()[0] == r"a \E$1 (b c d a \E$1 (b c"
+    link = '<a class="chip" href="#cite-2">2</a>'
+    assert odd.select(tx.citation_chips("t", F.array(F.lit(8), F.lit(3), F.lit(3)))).first()[0] == link * 2 + "[99999999999999999999][3"
+    assert odd.select(tx.citation_chips("t", F.lit(None).cast("array<int>"))).first()[0] == "[3][03][99999999999999999999][3"
     assert tuple(spark.createDataFrame([("a b c", "a x c")], "o string, n string").select(tx.word_diff("o", "n").alias("d")).first()["d"]) == ("a <del>b</del> c", "a <ins>x</ins> c")
 
 
@@ -364,3 +370,23 @@ def test_suite(spark):
     got = {(r["index"], r["effort"]): r["recall"] for r in suite.run_suite(rows, q, {"exact": vx.ExactIndex, "cells": lambda x: vx.CellIndex(x, n_lists=10)}, {"cells": (1, 10)}).collect()}
     assert got[("exact", None)] == got[("cells", 10)] == 1.0 > got[("cells", 1)] > 0.2
     assert suite.memory_bytes(10, 4, 2) == 10 * 24 + 2 * 24
+
+
+def test_beam_of_a_graph_finds_what_a_scan_finds():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = vx._Graph(np.arange(600), x, 8, 64, 1)
+    for admit in (None, np.arange(600) % 7 == 0, np.zeros(600, bool)):
+        right = 0
+        for q in x[:40]:
+            d = 1.0 - x @ q
+            own = np.arange(600) if admit is None else np.flatnonzero(admit)
+            want = own[np.argsort(d[own], kind="stable")][:10]
+            found, visits = g.search(q, 10, 64, admit, 1 << 60)
+            assert [a for a, _ in found] == sorted(a for a, _ in found) and visits <= 600
+            assert all(abs(a - d[n]) < 1e-12 and (admit is None or admit[n]) for a, n in found)
+            right += len(set(want.tolist()) & {n for _, n in found})
+        assert right >= 0.95 * 40 * min(10, len(own))
+    found, visits = g.search(x[0], 10, 64, None, 20)
+    assert visits < 20 + 2 * 8 + 1
