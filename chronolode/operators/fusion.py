@@ -35,3 +35,12 @@ def trace(queries: DataFrame, *, lexical: LexicalIndex, vector: VectorIndex, adm
     near = vector.search(queries.select("qid", "vector"), candidates, admissible=admissible).select("qid", "id", F.lit(0).alias("l"), F.lit(1).alias("v"))
     both = words.unionByName(near).groupBy("qid", "id").agg(F.sum("l").alias("l"), F.sum("v").alias("v"))
     return both.groupBy("qid").agg(F.sum("l").alias("candidates_lexical"), F.sum("v").alias("candidates_vector"), F.least(F.count(F.lit(1)), F.lit(k)).alias("fused"))
+
+
+def across(queries: DataFrame, *, lexical: LexicalIndex, vector: VectorIndex, before: DataFrame, after: DataFrame, k: int = 10, candidates: int = CANDIDATES) -> DataFrame:
+    """(qid, id, rank_before, rank_after, change) of a hybrid search over two admissible sets, such as those in force
+    on two dates. A rank is 0 where the id is not among the k best; change is added, dropped, moved or same."""
+    a, b = (hybrid_search(queries, lexical=lexical, vector=vector, admissible=ids, k=k, candidates=candidates).select("qid", "id", F.col("rank").alias(name)) for ids, name in ((before, "rank_before"), (after, "rank_after")))
+    both = a.join(b, ["qid", "id"], "full")
+    change = F.when(F.col("rank_before").isNull(), "added").when(F.col("rank_after").isNull(), "dropped").when(F.col("rank_before") == F.col("rank_after"), "same").otherwise("moved")
+    return both.select("qid", "id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("rank_before", "rank_after")], change.alias("change"))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 When = dt.date | dt.datetime | str
+#: Days of a bucket in which overlapping versions meet.
+BUCKET = 64
 
 
 def contains(day: Column, start: Column, end: Column) -> Column:
@@ -76,16 +78,21 @@ def overlaps(versions: DataFrame) -> DataFrame:
     """Pairs of versions of a section that share a day, both known now: none in a sound store.
 
     In order of start, a version overlaps an earlier one exactly if it starts before some earlier one ends; only rows
-    with such a conflict enter the join that names the pairs.
+    with such a conflict enter the join that names the pairs. There the other version stands once in each bucket of
+    days that it covers, up to the last start in conflict, and meets only the starts in that bucket.
     """
     far = F.coalesce("effective_to", F.lit(dt.date(9999, 12, 31)))
     live = versions.filter(F.col("superseded_at").isNull()).select("section", "version_id", "effective_from", far.alias("until"))
     before = Window.partitionBy("section").orderBy("effective_from", "version_id")
     reach = F.max("until").over(before.rowsBetween(Window.unboundedPreceding, -1))
     late = live.withColumn("reach", reach).filter(F.col("effective_from") < F.col("reach"))
-    early = live.select("section", F.col("version_id").alias("a"), F.col("effective_from").alias("a_from"), F.col("until").alias("a_to"))
+    last = F.lit(late.agg(F.max("effective_from")).first()[0]).cast("date")
+    bucket = lambda day: F.floor(F.unix_date(day) / BUCKET)
+    early = live.join(late.select("section").distinct(), "section", "left_semi").filter((F.col("effective_from") <= last) & (F.col("until") > F.col("effective_from")))
+    covered = F.sequence(bucket(F.col("effective_from")), bucket(F.least(F.date_sub("until", 1), last)))
+    early = early.select("section", F.col("version_id").alias("a"), F.col("effective_from").alias("a_from"), F.col("until").alias("a_to"), F.explode(covered).alias("bucket"))
     first = (F.col("a_from") < F.col("effective_from")) | ((F.col("a_from") == F.col("effective_from")) & (F.col("a") < F.col("version_id")))
-    return late.join(early, "section").filter(first & (F.col("a_to") > F.col("effective_from"))).select("section", "a", F.col("version_id").alias("b"))
+    return late.withColumn("bucket", bucket(F.col("effective_from"))).join(early, ["section", "bucket"]).filter(first & (F.col("a_to") > F.col("effective_from"))).select("section", "a", F.col("version_id").alias("b"))
 
 
 def amendments_between(pairs: DataFrame, versions: DataFrame, a: str, b: str) -> DataFrame:

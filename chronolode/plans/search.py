@@ -314,7 +314,7 @@ def hnsw_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hybrid_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Text query i with the vector of id 50 i - 43."""
+    """Text query i with the vector of id 20 (i - 1)."""
     vec = v.vector_queries(spark, d).select((F.col("qid") / 20 + 1).cast("long").alias("qid"), "vector")
     return v.text_queries(spark).join(F.broadcast(vec.filter(F.col("qid") <= len(v.TEXT_QUERIES))), "qid")
 
@@ -337,6 +337,18 @@ def hybrid_trace(spark: SparkSession, d: str) -> DataFrame:
     return t.select("qid", *[F.col(c).cast("long") for c in ("candidates_lexical", "candidates_vector", "fused")])
 
 
+_LATER = dt.date(2022, 6, 1)
+_FOUND = f"{_HYBRID} SELECT qid, id, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id))::INT AS rank FROM fu QUALIFY rank <= 10"
+
+
+@query(f"WITH a AS ({_FOUND}), b AS ({_FOUND.replace(str(v.AS_OF), str(_LATER))}) SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.id, b.id) AS id, coalesce(a.rank, 0) AS rank_before, coalesce(b.rank, 0) AS rank_after, "
+       "CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'dropped' WHEN a.rank = b.rank THEN 'same' ELSE 'moved' END AS change FROM a FULL JOIN b ON a.qid = b.qid AND a.id = b.id")
+def hybrid_across_dates(spark: SparkSession, d: str) -> DataFrame:
+    """The same questions as of two dates, and what changed between them."""
+    before, after = (temporal.admissible_ids(*_both(spark, d), day) for day in (v.AS_OF, _LATER))
+    return fusion.across(_hybrid_queries(spark, d), lexical=_lex(spark, d), vector=vx.ExactIndex(v.vectors(spark, d)), before=before, after=after, k=10)
+
+
 _LISTS = "l AS (SELECT user_id AS qid, event_type AS list, (event_id % 97) AS id, (1 + event_id % 13)::INT AS rank FROM events), b AS (SELECT qid, list, id, min(rank) AS rank FROM l GROUP BY 1, 2, 3)"
 
 
@@ -417,18 +429,16 @@ def overfetch_required(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("overfetch", nm.required_overfetch(F.col("s")))
 
 
-@query("""WITH e AS (SELECT min(vec_id) AS id, embedding::DOUBLE[] AS x FROM embeddings GROUP BY embedding), s AS (SELECT * FROM e WHERE id % 10 = 0),
+@query("""WITH e AS (SELECT min(vec_id) AS id, embedding::DOUBLE[] AS x FROM embeddings GROUP BY embedding), s AS (SELECT * FROM e),
 p AS (SELECT s.id, round(1 - list_dot_product(s.x, e.x), 12) AS d, row_number() OVER (PARTITION BY s.id ORDER BY round(1 - list_dot_product(s.x, e.x), 12), e.id) AS r FROM s JOIN e ON s.id <> e.id),
 r AS (SELECT id, greatest(max(sqrt(greatest(2 * d, 0))) FILTER (r = 1), 1e-12) AS r1, max(sqrt(greatest(2 * d, 0))) FILTER (r = 2) AS r2, max(d) FILTER (r = 1) AS nn FROM p WHERE r <= 2 GROUP BY 1)
 SELECT (SELECT count(*) FROM embeddings) AS n_vectors, (SELECT count(*) FROM e) AS n_distinct, round(count(*) / sum(ln(greatest(r2 / r1, 1 + 1e-12))), 4) AS intrinsic_dim, round(avg(nn), 6) AS mean_nn_distance FROM r""")
 def two_nn_dimension(spark: SparkSession, d: str) -> DataFrame:
     rows = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    g = ev.geometry(rows, every=10)
+    g = ev.geometry(rows)
     return g.select("n_vectors", "n_distinct", F.round("intrinsic_dim", 4).alias("intrinsic_dim"), F.round("mean_nn_distance", 6).alias("mean_nn_distance"))
 
 
-
-
 @query()
 def index_suite(spark: SparkSession, d: str) -> DataFrame:
     """Recall of every index at two efforts."""

@@ -317,9 +317,11 @@ def strength_bucket(spark: SparkSession, d: str) -> DataFrame:
     return e.join(top, F.col("event_type") == F.col("k")).select("event_id", tx.strength(F.col("value"), F.col("top")).alias("strength"), tx.ordinal(F.col("event_id") % 130).alias("ordinal"))
 
 
-@query(f"{_CTE}, h AS (SELECT user_id AS qid, event_id % 1500 AS id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id))::INT AS rank FROM events) SELECT qid, rank, h.id, citation_path, effective_from || ' → ' || coalesce(effective_to::VARCHAR, 'present') AS in_force, left(text, 400) AS snippet FROM h JOIN chunks c USING (id) JOIN versions USING (version_id)")
+@query(f"{_CTE}, h AS (SELECT user_id AS qid, event_id % (SELECT count(*) + 500 FROM documents) AS id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id))::INT AS rank FROM events) SELECT qid, rank, h.id, citation_path, effective_from || ' → ' || coalesce(effective_to::VARCHAR, 'present') AS in_force, left(text, 400) AS snippet FROM h JOIN chunks c USING (id) JOIN versions USING (version_id)")
 def hydrate(spark: SparkSession, d: str) -> DataFrame:
-    h = v.table(spark, d, "events").select(F.col("user_id").alias("qid"), (F.col("event_id") % 1500).alias("id"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("rank"))
+    """Hits on ids of all documents and on 500 that are gone."""
+    ids = v.table(spark, d, "documents").count() + 500
+    h = v.table(spark, d, "events").select(F.col("user_id").alias("qid"), (F.col("event_id") % ids).alias("id"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("rank"))
     return an.hydrate(h, v.chunks(spark, d), v.versions(spark, d))
 
 

@@ -177,6 +177,7 @@ def test_timeline_and_overlaps(spark):
     o = spark.createDataFrame([(1, "a", D(2020, 1, 1), None, None), (2, "a", D(2020, 2, 1), D(2020, 3, 1), None), (3, "a", D(2020, 5, 1), None, None), (4, "b", D(2020, 1, 1), D(2020, 2, 1), None), (5, "b", D(2020, 2, 1), None, None), (6, "b", D(2020, 1, 5), None, D(2021, 1, 1))],
                               "version_id long, section string, effective_from date, effective_to date, superseded_at date")
     assert sorted((r["a"], r["b"]) for r in temporal.overlaps(o).collect()) == [(1, 2), (1, 3)]
+    assert temporal.overlaps(o.limit(0)).count() == 0 and temporal.overlaps(o.filter("version_id = 1")).count() == 0
 
 
 # Sections.
