@@ -51,13 +51,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     html, k = F.col("html"), F.col("page_id") % 97
     flipped = F.concat(F.when(F.substring(html, 1, 1) == "#", "%").otherwise("#"), F.expr("substring(html, 2)"))
     other = F.when(k == 13, flipped).when(k == 14, F.concat(html, F.lit("<p>grown"))).when(k == 15, F.expr("substring(html, 4)")).otherwise(html)
-    damaged = pages.withColumn("html", other).filter(F.coalesce(F.col("page_id") % 389 != 7, F.lit(True)))
-    n = warc.archives(pages)
-    sides = []
-    for rows in (pages, damaged):
-        path = shared_path(spark, "warc")
-        warc.write(rows, path, n_archives=n)
-        sides.append(warc.stored(spark, path))
+    path = shared_path(spark, "warc")
+    warc.write(pages, path, copies={"replica": (other, F.coalesce(F.col("page_id") % 389 != 7, F.lit(True)))})
+    sides = [warc.stored(spark, path, copy) for copy in ("primary", "replica")]
     none = F.lit(-1).cast("long")
     return warc.compare(*sides).withColumns({c: F.coalesce(c, none) for c in ("start", "length", "start_replica", "length_replica")})
 

@@ -28,6 +28,8 @@ PER_ARCHIVE = 1024
 RANGE = 1 << 16
 FANOUT = 16
 DATE = "1970-01-01T00:00:00Z"
+#: Bytes of records after which a batch goes on.
+BATCH = 1 << 24
 
 
 def _urn(record_id: Column) -> Column:
@@ -53,12 +55,17 @@ def archives(pages: DataFrame, per_archive: int = PER_ARCHIVE) -> int:
     return max(1, -(-pages.count() // per_archive))
 
 
-def _placed(pages: DataFrame, page_id: str, url: str, html: str, n: int) -> DataFrame:
-    """(archive, _id, _url, record): the archive goes by a hash of id and url, of the html where both are null."""
+def _placed(pages: DataFrame, page_id: str, url: str, html: str, n: int, copies: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
+    """(archive, _id, _url, record): the archive goes by a hash of id and url, of the html where both are null. For each
+    of copies same_i, whether it holds the same record, and other_i, what it holds instead, null for nothing."""
     rid = F.concat_ws("\n", F.col(page_id).cast("string"), F.col(url))
     named = F.when(F.col(page_id).isNull() & F.col(url).isNull(), F.md5(F.coalesce(F.col(html), F.lit("")).cast("binary"))).otherwise(rid)
     archive = F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long") % n
-    return pages.select(archive.alias("archive"), F.col(page_id).alias("_id"), F.col(url).alias("_url"), record(F.col(url), F.col(html), rid).alias("record"))
+    more = []
+    for i, (body, kept) in enumerate((copies or {}).values()):
+        same = F.coalesce(kept, F.lit(False)) & body.eqNullSafe(F.col(html))
+        more += [same.alias(f"same_{i}"), F.when(kept & ~same, record(F.col(url), body, rid)).alias(f"other_{i}")]
+    return pages.select(archive.alias("archive"), F.col(page_id).alias("_id"), F.col(url).alias("_url"), record(F.col(url), F.col(html), rid).alias("record"), *more)
 
 
 def manifest(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", n_archives: int | None = None) -> DataFrame:
@@ -77,27 +84,50 @@ def manifest(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", ht
     return rows.select("archive", (F.col("first") + F.col("copy") * F.col("length")).alias("start"), "length", "sha", "record_id")
 
 
-def write(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", n_archives: int | None = None) -> None:
-    """Pages as WARC bytes in Parquet rows (archive, start, record), records of an archive in order; see manifest()."""
-    rows = _placed(pages, page_id, url, html, n_archives or archives(pages)).withColumn("_sha", F.sha2("record", 256))
+def write(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", n_archives: int | None = None, copies: dict[str, tuple[Column, Column]] | None = None) -> None:
+    """Pages as WARC bytes in Parquet rows (archive, start, record), records of an archive in order; see manifest().
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, at = None, 0
-        for batch in batches:
-            starts = []
-            for archive, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if archive != current:
-                    current, at = archive, 0
-                starts.append(at)
-                at += n
-            yield pa.record_batch([batch.column(0), pa.array(starts, pa.int64()), batch.column(2)], ["archive", "start", "record"])
+    copies: by name, the html that a copy of the archives holds in place of each page's own, and whether it holds the
+    page's record at all. They are written in the same pass, so that page bytes are shuffled once, each with its own
+    offsets and its records in the order of the pages; column copy tells them apart, `primary` is the pages' own.
+    """
+    copies = copies or {}
+    rows = _placed(pages, page_id, url, html, n_archives or archives(pages), copies).withColumn("_sha", F.sha2("record", 256))
+    names = ["primary", *copies]
 
-    rows = rows.repartition("archive").sortWithinPartitions("archive", "_id", "_url", "_sha").select("archive", F.octet_length("record").alias("n"), "record")
-    rows.mapInArrow(run, "archive long, start long, record binary").write.mode("overwrite").parquet(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, at, held, done = None, [], 0, []
 
+        def out() -> pa.RecordBatch:
+            columns = zip(*done, strict=True) if done else ([], [], [], [])
+            return pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["copy", "archive", "start", "record"])
 
-def stored(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, start, length, sha, record_id, url) of what write() left at path, read from the records' own bytes.
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                archive, data, *others = (x.as_py() for x in row)
+                if archive != current:
+                    current, at = archive, [0] * len(names)
+                pairs = zip(others[::2], others[1::2], strict=True)
+                for i, x in enumerate([data, *(data if same else other for same, other in pairs)]):
+                    if x is not None:
+                        done.append((names[i], archive, at[i], x))
+                        at[i] += len(x)
+                        held += len(x)
+                if held >= BATCH:
+                    yield out()
+                    held, done = 0, []
+        yield out()
+
+    other = [c for i in range(len(copies)) for c in (f"same_{i}", f"other_{i}")]
+    rows = rows.repartition("archive").sortWithinPartitions("archive", "_id", "_url", "_sha").select("archive", "record", *other)
+    done = rows.mapInArrow(run, "copy string, archive long, start long, record binary")
+    to = (done.write.partitionBy("copy") if copies else done.drop("copy").write).mode("overwrite").option("compression", "zstd")
+    to.parquet(path)
+
+
+def stored(spark: SparkSession, path: str, copy: str | None = None) -> DataFrame:
+    """(archive, start, length, sha, record_id, url) of what write() left at path, or of one copy of it, read from the
+    records' own bytes.
 
     Bytes that are no whole record fail with their offset.
     """
@@ -113,7 +143,8 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
                 lengths.append(n)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(lengths, pa.int64()), batch.column(3), pa.array(ids, pa.string()), pa.array(urls, pa.string())], ["archive", "start", "length", "sha", "record_id", "url"])
 
-    rows = spark.read.schema("archive long, start long, record binary").parquet(path).withColumn("sha", F.sha2("record", 256))
+    rows = spark.read.schema("archive long, start long, record binary" + (", copy string" if copy else "")).parquet(path)
+    rows = (rows.filter(F.col("copy") == copy).drop("copy") if copy else rows).withColumn("sha", F.sha2("record", 256))
     return rows.mapInArrow(run, "archive long, start long, length long, sha string, record_id string, url string")
 
 
@@ -217,7 +248,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """(path, start, length, record_id, type, url, body) of the records of WARC files, plain or gzip, by Spark's readers.
 
     A file is one row of Spark's binary reader and so at most 2 GB; gzip members are unzipped as they are read, and
-    batches go on after about 16 MB, so that no file's content is held unzipped.
+    batches go on after about BATCH bytes, so that no file's content is held unzipped.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +261,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 for at, n, h, body in records(gzip.GzipFile(fileobj=raw) if zipped else raw):
                     rows.append((file, at, n, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), body))
                     held += n
-                    if held >= 1 << 24 or len(rows) == 1000:
+                    if held >= BATCH or len(rows) == 1000:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                         rows, held = [], 0
                 if rows:

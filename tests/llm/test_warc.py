@@ -92,3 +92,26 @@ def test_files_round_trip(spark, tmp_path):
     assert sorted((r["url"], bytes(r["body"]).decode()) for r in got) == sorted([("http://a/é", "<p>1</p>"), ("", ""), ("u", "WARC/1.1\r\n\r\nx")] * 2)
     m = {(r["start"], r["length"]) for r in warc.manifest(df).collect()}
     assert {(r["start"], r["length"]) for r in got} == m
+
+
+def test_batches_end_between_records(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([*pages(300), (7, "http://h/7", "y" * 5000, 0, "")], PAGE)
+    monkeypatch.setattr(warc, "BATCH", 700)
+    warc.write(df, str(tmp_path / "w"), n_archives=2)
+    got = warc.stored(spark, str(tmp_path / "w")).select("archive", "start", "length", "sha", "record_id")
+    want = warc.manifest(df, n_archives=2).select(*got.columns)
+    assert got.count() == 301 and got.exceptAll(want).count() == 0
+
+
+def test_copies_are_written_as_if_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BATCH", 900)
+    df = spark.createDataFrame([*pages(300), (None, "n", None, 0, ""), (None, None, "z", 0, "")], PAGE)
+    other = F.when(F.col("page_id") == 5, "longer " * 40).when(F.col("page_id") == 6, F.lit(None)).otherwise(F.col("html"))
+    kept = F.when(F.col("page_id").isNotNull(), F.col("page_id") % 50 != 3).otherwise(True)
+    warc.write(df, str(tmp_path / "w"), n_archives=2, copies={"b": (other, kept), "none": (other, F.lit(None).cast("boolean"))})
+    for copy, rows in (("primary", df), ("b", df.filter(kept).withColumn("html", other)), ("none", df.limit(0))):
+        got = warc.stored(spark, str(tmp_path / "w"), copy).drop("url")
+        want = warc.manifest(rows, n_archives=2).select(*got.columns)
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    warc.write(df.limit(0), str(tmp_path / "e"), copies={"b": (other, kept)})
+    assert warc.compare(warc.stored(spark, str(tmp_path / "e"), "primary"), warc.stored(spark, str(tmp_path / "e"), "b")).count() == 0
