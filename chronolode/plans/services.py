@@ -400,7 +400,8 @@ def outcome_metrics(spark: SparkSession, d: str) -> DataFrame:
 # Streams, run to their end over the events.
 @query("SELECT min(event_id) AS id FROM events GROUP BY user_id % 10, event_type || ':' || (event_id % 50)")
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return streams.replay(spark, v.table(spark, d, "events").withColumns({"queue": F.col("user_id") % 10, "idempotency_key": F.concat_ws(":", "event_type", F.col("event_id") % 50)}), streams.first_of_key).groupBy("queue", "idempotency_key").agg(F.min("event_id").alias("id")).select("id")
+    e = v.table(spark, d, "events").select("event_id", (F.col("user_id") % 10).alias("queue"), F.concat("event_type", F.lit(":"), F.col("event_id") % 50).alias("idempotency_key"))
+    return streams.replay(spark, e, streams.first_of_key).select(F.col("event_id").alias("id"))
 
 
 @query("SELECT event_type, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, count(*) AS n FROM events GROUP BY 1, 2")

@@ -294,6 +294,25 @@ def test_stream_leases():
     assert run("claim", "nack", "claim", "ack") == "succeeded" and state.get == (3, "succeeded")
 
 
+def test_first_of_key_in_any_order(spark, tmp_path):
+    """Rows come in several files, latest first, over a year; some have no kind."""
+    from chronolode.plans import services
+
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(hours=i), i % 7, None if i % 11 == 0 else "ab"[i % 2], "{}") for i in range(9_000, 0, -1)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, props string").repartitionByRange(6, F.desc("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    want = {}
+    for i, ts, user, kind, _ in rows:
+        key = user % 10, kind and f"{kind}:{i % 50}"
+        want[key] = min(want.get(key, (i, ts)), (i, ts))
+    assert sorted(r["id"] for r in services.stream_dedupe(spark, str(tmp_path)).collect()) == sorted(i for i, _ in want.values())
+    jobs = spark.read.parquet(str(tmp_path / "events.parquet")).withColumn("queue", F.col("user_id") % 10).withColumn("idempotency_key", F.concat("event_type", F.lit(":"), F.col("event_id") % 50))
+    got = streams.replay(spark, jobs, streams.first_of_key)
+    assert sorted(got.columns) == sorted(jobs.columns)
+    assert {(r["queue"], r["idempotency_key"]): (r["event_id"], r["ts"]) for r in got.collect()} == want
+    assert streams.replay(spark, jobs.filter("event_id < 0"), streams.first_of_key).count() == 0
+
+
 # Prices and answers.
 def test_price_boundaries(spark):
     rates = spark.createDataFrame([("m", "2.00", "10.00", D(2026, 1, 1), D(2026, 9, 1)), ("m", "3.00", "15.00", D(2026, 9, 1), None)], "model string, input_rate string, output_rate string, effective_from date, effective_to date")
