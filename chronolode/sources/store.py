@@ -13,7 +13,7 @@ from chronolode.operators.lexical import LexicalIndex
 from chronolode.operators.vectors import CellIndex, GraphIndex
 from chronolode.sources.feeds import described
 
-VERSION = 1
+VERSION = {"lexical": 1, "cells": 1, "graph": 2}
 
 
 class FormatError(ValueError):
@@ -101,15 +101,15 @@ def save_lexical(index: LexicalIndex, path: str, buckets: int = 64) -> None:
     """Postings clustered by term, so that a term's row groups are all that a search reads; sizes and format beside."""
     index.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
     index.frequencies.repartitionByRange(max(1, buckets // 8), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/frequencies")
-    meta = {"kind": "lexical", "version": VERSION, "n": index.n, "average": index.average}
+    meta = {"kind": "lexical", "version": VERSION["lexical"], "n": index.n, "average": index.average}
     index.postings.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
 def _meta(spark: SparkSession, path: str, kind: str) -> dict:
     row = spark.read.text(f"{path}/meta").first()
     meta = json.loads(row[0]) if row else {}
-    if meta.get("kind") != kind or meta.get("version") != VERSION:
-        raise FormatError(f"{path}: {kind} version {VERSION} expected, found {meta.get('kind')} {meta.get('version')}")
+    if meta.get("kind") != kind or meta.get("version") != VERSION[kind]:
+        raise FormatError(f"{path}: {kind} version {VERSION[kind]} expected, found {meta.get('kind')} {meta.get('version')}")
     return meta
 
 
@@ -121,7 +121,7 @@ def load_lexical(spark: SparkSession, path: str) -> LexicalIndex:
 def save_cells(index: CellIndex, path: str) -> None:
     """Vectors in a folder for each cell: probing a cell is partition pruning."""
     index.cells.repartition("cell").sortWithinPartitions("id").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
-    meta = {"kind": "cells", "version": VERSION, "centroids": index.centroids.tolist()}
+    meta = {"kind": "cells", "version": VERSION["cells"], "centroids": index.centroids.tolist()}
     index.cells.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
@@ -136,7 +136,7 @@ def load_cells(spark: SparkSession, path: str) -> CellIndex:
 def save_graphs(index: GraphIndex, path: str) -> None:
     index.graphs.write.mode("overwrite").parquet(f"{path}/graphs")
     index.vectors.select("id", "vector").write.mode("overwrite").parquet(f"{path}/vectors")
-    meta = {"kind": "graph", "version": VERSION, "max_visits": index.max_visits}
+    meta = {"kind": "graph", "version": VERSION["graph"], "max_visits": index.max_visits}
     index.graphs.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 

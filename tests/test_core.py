@@ -410,3 +410,34 @@ def test_beam_of_a_graph_finds_what_a_scan_finds():
         assert right >= 0.95 * 40 * min(10, len(own))
     found, visits = g.search(x[0], 10, 64, None, 20)
     assert visits < 20 + 2 * 8 + 1
+
+
+def test_graph_under_narrow_and_wide_filters():
+    """Few admissible nodes cost as many measurements, not a walk over all; equal vectors stay within reach."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 8))
+    x[300:600] = x[300]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = vx._Graph(np.arange(900), x, 8, 64, 1)
+    few = np.arange(900) % 45 == 0
+    for q in x[::90]:
+        d = np.round(1.0 - x @ q, 12)
+        found, visits = g.search(q, 10, 64, few, 1 << 60)
+        own = np.flatnonzero(few)
+        assert visits == few.sum() and [n for _, n in found] == own[np.lexsort((own, d[own]))][:10].tolist()
+        assert len(g.beam(q, [g.entry], 900, 0)[0]) == 900
+    assert max(len(v) for v in np.split(g.layers[0][2], g.layers[0][1][1:-1])) < 64
+    half, right = np.arange(900) % 2 == 0, 0
+    for q in x[::9]:
+        found, visits = g.search(q, 10, 64, half, 1 << 60)
+        far = np.sort(np.round(1.0 - x[half] @ q, 12))[9]
+        right += sum(a <= far + 1e-9 for a, _ in found)
+        assert all(half[n] for _, n in found) and visits <= 900
+    assert right >= 950
+
+
+def test_graph_of_few_or_equal_vectors():
+    for x in (np.ones((1, 1)), np.ones((2, 1)), np.ones((300, 1))):
+        g = vx._Graph(np.arange(len(x)), x, 4, 16, 0)
+        assert len(g.search(x[0], 10, 16, None, 1 << 60)[0]) == min(10, len(x))
+        assert len(g.beam(x[0], [g.entry], len(x), 0)[0]) == len(x)
