@@ -7,8 +7,8 @@ as tables on the executors, from every gram, and stored as one sorted array of 6
 (language, log probability) and (language, log weight). A text's languages are compared by cross-entropy a character;
 the lowest wins.
 
-Rejection and the sharpness of the score are calibrated on a fold of the learning documents (CALIBRATION_FOLD) by
-models that are counted without it; the models that predict count all learning documents.
+Rejection and the sharpness of the score are calibrated on all documents of a fold of the learning documents
+(CALIBRATION_FOLD) by models that are counted without it; the models that predict count all learning documents.
 
 Counting and scoring are one pass each, without a shuffle of texts: counts leave a task as one row for each distinct
 gram and language. The tables are cut into shards of about SHARD entries by the two characters before the last one, on
@@ -34,9 +34,9 @@ from chronolode.llm._session import checkpoint
 
 ORDER = 4
 CALIBRATION_FOLD = 1
-#: Documents of a language that calibration reads, those of its fold with the smallest hash.
-MAX_CALIBRATION = 500
 CALIBRATION = 0.99
+#: Ranges that a pass of quantiles() counts.
+BINS = 256
 #: Entries of a shard; one takes 14 bytes.
 SHARD = 4_000_000
 UNDETERMINED = "und"
@@ -334,33 +334,74 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
     return model
 
 
+def quantiles(rows: DataFrame, p: float) -> dict[int, float]:
+    """The p-quantile of x by k of rows(k, x), exact, and between two places in proportion.
+
+    No group is gathered or sorted: a pass counts the range that holds a place in BINS ranges and goes on with the one
+    that has the place, until that place is at its end. The driver gets BINS rows a place and pass.
+    """
+    facts = [F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")]
+    whole = rows.groupBy("k").agg(*facts).collect()
+    at = {r["k"]: (r["n"] - 1) * p for r in whole}
+    ranges = {(r["k"], place): (place, r) for r in whole for place in {math.floor(at[r["k"]]), math.ceil(at[r["k"]])}}
+    found: dict[tuple[int, int], float] = {}
+    while ranges:
+        left = []
+        for key, (rest, r) in ranges.items():
+            if rest == 0 or rest == r["n"] - 1 or r["lo"] == r["hi"]:
+                found[key] = r["lo"] if rest == 0 else r["hi"]
+            else:
+                left.append((*key, rest, r["lo"], r["hi"]))
+        if not left:
+            break
+        known = F.broadcast(rows.sparkSession.createDataFrame(left, "k int, place long, rest long, low double, high double"))  # two rows a language
+        inside = rows.join(known, "k").filter(F.col("x").between(F.col("low"), F.col("high")))
+        inside = inside.withColumn("bin", F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1)))
+        ranges = {}
+        before: dict[tuple[int, int], int] = {}
+        for r in sorted(inside.groupBy("k", "place", "rest", "bin").agg(*facts).collect(), key=lambda r: r["bin"]):
+            key = r["k"], r["place"]
+            rest = r["rest"] - before.get(key, 0)
+            before[key] = before.get(key, 0) + r["n"]
+            if 0 <= rest < r["n"]:
+                ranges[key] = rest, r
+    ends = {k: (found[k, math.floor(x)], found[k, math.ceil(x)], x - math.floor(x)) for k, x in at.items()}
+    return {k: lo + (hi - lo) * part for k, (lo, hi, part) in ends.items()}
+
+
 def _calibrate(model: Model, trial: Model, docs: DataFrame, doc_id: str, text: str, lang: str) -> None:
-    """Sets limits and sharpness by the trial model's cross-entropies of documents that it did not count."""
+    """Sets limits and sharpness by the trial model's cross-entropies of all documents of the fold, which it did not
+    count. The driver gets counts and sums by language; of a document no more than its sums is written."""
+    if not trial.languages:
+        return
     held = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (_fold(F.col(doc_id)) == CALIBRATION_FOLD))
-    held = held.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"), F.xxhash64(F.lit(3), F.col(doc_id)).alias("h"))
-    # About four times as many by hash go to the window, however many a language has.
-    sizes = F.broadcast(held.groupBy("lang").agg(F.count(F.lit(1)).alias("of")).withColumnRenamed("lang", "of_lang"))  # a row a language
-    share = F.shiftrightunsigned("h", 11) / float(1 << 53)
-    held = held.join(sizes, F.col("lang") == F.col("of_lang")).filter(share * F.col("of") < 4 * MAX_CALIBRATION).select("lang", "t", "h")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
-    sample = held.withColumn("rank", rank).filter(F.col("rank") <= MAX_CALIBRATION).select("lang", "t")
-    rows = [r for r in _sums(sample, trial, "t").select("lang", "_lm_n", "_lm_sums").collect() if r["_lm_n"] and r["lang"] in trial.languages]
-    if not rows:
+    held = held.select((F.array_position(F.array(*[F.lit(x) for x in trial.languages]), F.col(lang).cast("string")) - 1).cast("int").alias("k"), F.col(text).alias("t"))
+    scored = _sums(held.filter("k >= 0"), trial, "t").filter("_lm_n > 0")
+    scored = checkpoint(scored.select("k", F.sqrt(F.col("_lm_n").cast("double")).alias("root"), F.transform("_lm_sums", lambda x: x / F.col("_lm_n")).alias("entropy")))
+    own = scored.select("k", "root", F.expr("entropy[k]").alias("x"))
+    middle = quantiles(own, 0.5)
+    if not middle:
         return
-    n = np.array([r["_lm_n"] for r in rows], float)
-    own = np.array([trial.languages.index(r["lang"]) for r in rows])
-    entropy = np.array([r["_lm_sums"] for r in rows]) / n[:, None]
-    for k, language in enumerate(trial.languages):
-        mine = own == k
-        if mine.any():
-            x = entropy[mine, k]
-            middle = float(np.median(x))
-            model.limit[model.languages.index(language)] = middle, float(np.quantile((x - middle) * np.sqrt(n[mine]), CALIBRATION))
+    middles = F.array(*[F.lit(middle.get(k, 0.0)) for k in range(len(trial.languages))])
+    spread = quantiles(own.select("k", ((F.col("x") - F.get(middles, F.col("k"))) * F.col("root")).alias("x")), CALIBRATION)
+    for k, x in middle.items():
+        model.limit[model.languages.index(trial.languages[k])] = x, spread[k]
     # The flattest scores whose log loss is the least, within a thousandth.
-    ahead = (entropy - entropy[np.arange(len(rows)), own][:, None]) * np.sqrt(n)[:, None]
     grid = 2.0 ** np.linspace(-3, 6, 37)
-    loss = [float(np.mean(np.logaddexp.reduce(-b * ahead, axis=1))) for b in grid]
-    model.sharpness = float(grid[int(np.flatnonzero(np.array(loss) <= min(loss) + 1e-3)[0])])
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(grid)), 0
+        for batch in batches:
+            mine, root = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            entropy = np.asarray(batch.column(2).flatten()).reshape(len(mine), -1)
+            ahead = (entropy - entropy[np.arange(len(mine)), mine][:, None]) * root[:, None]
+            total += [float(np.sum(np.logaddexp.reduce(-b * ahead, axis=1))) for b in grid]
+            n += len(mine)
+        yield pa.record_batch([pa.array(np.arange(len(grid))), pa.array(total), pa.array(np.full(len(grid), n))], ["b", "total", "n"])
+
+    mean = scored.mapInArrow(losses, "b long, total double, n long").groupBy("b").agg((F.sum("total") / F.sum("n")).alias("loss"))
+    loss = np.array([r["loss"] for r in sorted(mean.collect(), key=lambda r: r["b"])])
+    model.sharpness = float(grid[int(np.flatnonzero(loss <= loss.min() + 1e-3)[0])])
 
 
 def _sums(docs: DataFrame, model: Model, text: str) -> DataFrame:

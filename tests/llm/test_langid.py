@@ -103,6 +103,37 @@ def test_calibration_is_of_documents_that_the_trial_model_did_not_count(spark):
     assert np.allclose(model.limit[1], (middle, np.quantile((ce - middle) * np.sqrt(n), li.CALIBRATION)), atol=1e-4)
 
 
+def test_calibration_takes_every_document_of_its_fold(spark):
+    """However many there are; limits and sharpness are those that numpy finds over all of them."""
+    rows = [(i, t, lang if i % 100 < 2 else "aa", s, n) for i, t, lang, s, n in corpus(3_600)]
+    d = spark.createDataFrame(rows, DOC).repartition(5)
+    model = li.fit(d)
+    table, floor = li.kneser_ney(li._count(d, "doc_id", "lang", "text"))
+    trial = li._model(table, floor[1], 1, li.SHARD)
+    fold = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == li.CALIBRATION_FOLD]
+    sums, n = trial.shard(0).sums([li.normalised(r[1]) for r in fold])
+    entropy, own = sums / n[:, None], np.array([trial.languages.index(r[2]) for r in fold])
+    assert (own == 0).sum() > 600
+    for k in range(3):
+        x = entropy[own == k, k]
+        middle = np.median(x)
+        assert np.allclose(model.limit[k], (middle, np.quantile((x - middle) * np.sqrt(n[own == k]), li.CALIBRATION)), atol=1e-12)
+    ahead = (entropy - entropy[np.arange(len(fold)), own][:, None]) * np.sqrt(n)[:, None]
+    grid = 2.0 ** np.linspace(-3, 6, 37)
+    loss = np.array([np.logaddexp.reduce(-b * ahead, axis=1).mean() for b in grid])
+    assert model.sharpness == grid[np.flatnonzero(loss <= loss.min() + 1e-3)[0]]
+
+
+def test_quantiles_are_exact(spark):
+    r = np.random.default_rng(1)
+    groups = {0: r.normal(size=2_001), 1: np.repeat([2.5, -1.0], [700, 3]), 2: np.array([7.0]), 3: np.append(r.random(500) * 1e-9, [1e6, -1e6]), 4: np.array([1.0, 2.0])}
+    d = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v], "k int, x double").repartition(4)
+    for p in (0.5, 0.99):
+        got = li.quantiles(d, p)
+        assert got.keys() == groups.keys() and all(np.isclose(got[k], np.quantile(v, p), rtol=1e-12, atol=0) for k, v in groups.items())
+    assert li.quantiles(d.filter("k > 9"), 0.5) == {}
+
+
 def test_probabilities_sum_to_one(spark):
     """Over all characters after a context, the unseen one included."""
     model = li.fit(spark.createDataFrame(corpus(80), DOC)).shard(0)
